@@ -6,10 +6,12 @@ whole of its source tables; :mod:`paritas.checks.oracle` states them as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.catalogue import BASELINE, FINETUNED, IDENTITY_COLUMNS, RAW, ZERO_SHOT, ModelSpec
+from paritas.operators.ood import test_split
+from paritas.sources.tables import read_table, spread
 
 DATASET, OOD_DATASET = "Jigsaw", "ToxiGen"
 
@@ -24,57 +26,63 @@ MODEL_KEYS = tuple(model.key for model in REGISTRY)
 SCORED_MODELS = MODEL_KEYS[:3]
 
 
+# Declared, so that no job has to look a schema up.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def _documents_with_labels(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+def _documents_with_labels(
+    spark: SparkSession, sf_dir: str, how: str, spread_texts: bool = False
+) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    if spread_texts:
+        documents = spread(documents)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", how)
+    return documents.join(labels, "doc_id", how)
 
 
-def _identity(k: int, name: str) -> Column:
-    doc = F.col("doc_id")
-    base = F.when((doc * 7 + k) % (k + 2) == 0, 50).otherwise(0)
-    score = (base + (doc * 13 + k) % 51).cast("double") / 100
+def _identity(k: int, name: str) -> str:
+    score = (
+        f"CAST(IF((doc_id * 7 + {k}) % {k + 2} = 0, 50, 0) + (doc_id * 13 + {k}) % 51"
+        " AS DOUBLE) / 100"
+    )
     if name == "other_disability":
-        score = F.lit(0.0)
+        score = "0D"
     elif name == "hindu":
-        score = F.when(F.col("toxic") == 0, score).otherwise(F.lit(0.0))
-    return F.when((doc + k) % 11 != 0, score)
+        score = f"IF(toxic = 0, {score}, 0D)"
+    return f"IF((doc_id + {k}) % 11 <> 0, {score}, NULL) AS {name}"
 
 
-def jigsaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jigsaw(spark: SparkSession, sf_dir: str, spread_texts: bool = False) -> DataFrame:
     """Raw comments: null texts and targets, boundary values, 24 identities."""
-    doc = F.col("doc_id")
-    identities = [_identity(k, name).alias(name) for k, name in enumerate(IDENTITY_COLUMNS)]
-    return _documents_with_labels(spark, sf_dir, "left").select(
-        doc.alias("id"),
-        F.when(doc % 50 != 7, F.col("text")).alias("comment_text"),
-        ((F.col("toxic") * 50 + (doc * 37) % 50).cast("double") / 100).alias("target"),
-        *identities,
+    return _documents_with_labels(spark, sf_dir, "left", spread_texts).selectExpr(
+        "doc_id AS id",
+        "IF(doc_id % 50 <> 7, text, NULL) AS comment_text",
+        "CAST(toxic * 50 + (doc_id * 37) % 50 AS DOUBLE) / 100 AS target",
+        *[_identity(k, name) for k, name in enumerate(IDENTITY_COLUMNS)],
     )
 
 
 def scores(spark: SparkSession, sf_dir: str, dataset: str = DATASET) -> DataFrame:
     """(dataset, model, id, score) of three models with different skill."""
-    doc = F.col("doc_id")
-    toxic = F.coalesce(F.col("toxic"), F.lit(0))
-    by_model = (
-        toxic * 40 + (doc * 7919) % 61,
-        toxic * 15 + (doc * 104729) % 86,
-        (doc * 611953) % 101,
+    points = (
+        "coalesce(toxic, 0) * 40 + (doc_id * 7919) % 61",
+        "coalesce(toxic, 0) * 15 + (doc_id * 104729) % 86",
+        "(doc_id * 611953) % 101",
     )
-    entries = [
-        F.struct(
-            F.lit(dataset).alias("dataset"),
-            F.lit(name).alias("model"),
-            doc.alias("id"),
-            (points.cast("double") / 100).alias("score"),
-        )
-        for name, points in zip(SCORED_MODELS, by_model, strict=True)
-    ]
-    return _documents_with_labels(spark, sf_dir, "left").select(F.inline(F.array(*entries)))
+    entries = ", ".join(
+        f"struct('{dataset}' AS dataset, '{model}' AS model, doc_id AS id,"
+        f" CAST({p} AS DOUBLE) / 100 AS score)"
+        for model, p in zip(SCORED_MODELS, points, strict=True)
+    )
+    return _documents_with_labels(spark, sf_dir, "left").selectExpr(f"inline(array({entries}))")
 
 
 def toxigen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +113,6 @@ def toxigen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ood_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions for the out-of-domain test rows; the fine-tuned model was run on
     the unfiltered table, so that its count does not match."""
-    from paritas.operators.ood import test_split
-
     rows = toxigen(spark, sf_dir).select("id", "split")
     made = scores(spark, sf_dir, OOD_DATASET)
     partial = F.col("model") == SCORED_MODELS[2]

@@ -51,8 +51,8 @@ def query_as(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.prepare_comments(fx.jigsaw(spark, sf_dir))
+def _prepared(spark: SparkSession, sf_dir: str, spread_texts: bool = False) -> DataFrame:
+    return prepare.prepare_comments(fx.jigsaw(spark, sf_dir, spread_texts))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named(df: DataFrame) -> DataFrame:
     """Replace group positions by identity names; null is the whole table."""
-    names = F.array(*[F.lit(n) for n in IDENTITIES])
+    names = prepare.text_array(IDENTITIES)
     rest = [c for c in df.columns if c != metrics.GROUP]
     return df.select(F.get(names, F.col(metrics.GROUP)).alias("identity"), *rest)
 
@@ -488,7 +488,8 @@ def zero_shot_prompts(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    return _prepared(spark, sf_dir).select("id", F.col("comment_text").alias("text"))
+    prepared = _prepared(spark, sf_dir, spread_texts=True)
+    return prepared.select("id", F.col("comment_text").alias("text"))
 
 
 def _token_digest(spark, sf_dir, tokens):
@@ -554,7 +555,7 @@ def balanced_class_weights(spark, sf_dir):
 def _baseline_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Saved splits and pipeline of the baseline, made once per session and input."""
     data, model = scratch_path(spark, "data"), scratch_path(spark, "baseline")
-    split_source.write_splits(split.train_eval_slices(_prepared(spark, sf_dir), -1, -1), data)
+    split_source.write_splits(split.train_eval_slices(_prepared(spark, sf_dir, True), -1, -1), data)
     trained = classifier.train_baseline(split_source.read_splits(spark, data).train)
     model_source.save_pipeline(trained, model)
     return data, model
@@ -621,31 +622,31 @@ def baseline_ood_bias_metrics(spark, sf_dir):
 
 @query
 def candidate_selection(spark, sf_dir):
-    measured, _ = candidate_metrics(_prepared(spark, sf_dir), IDENTITIES)
+    measured, _ = candidate_metrics(_prepared(spark, sf_dir, True), IDENTITIES)
     return metrics.best_run(measured.where(F.col("ord") == 0))
 
 
 @query
 def batch_scores(spark, sf_dir):
-    scored = score_texts(_prepared(spark, sf_dir), length_model())
+    scored = score_texts(_prepared(spark, sf_dir, True), length_model())
     return scored.select("id", _rounded(F.col("score"), "score"))
 
 
 @query
 def batch_bias_metrics(spark, sf_dir):
-    scored = score_texts(_prepared(spark, sf_dir), length_model())
+    scored = score_texts(_prepared(spark, sf_dir, True), length_model())
     return _measured(scored, IDENTITIES, "length")
 
 
 @query
 def zero_shot_scores(spark, sf_dir):
-    scored = score_zero_shot(_prepared(spark, sf_dir), yes_no_model())
+    scored = score_zero_shot(_prepared(spark, sf_dir, True), yes_no_model())
     return scored.select("id", _rounded(F.col("score"), "score"))
 
 
 @query
 def zero_shot_bias_metrics(spark, sf_dir):
-    scored = score_zero_shot(_prepared(spark, sf_dir), yes_no_model())
+    scored = score_zero_shot(_prepared(spark, sf_dir, True), yes_no_model())
     return _measured(scored, IDENTITIES, "yes-no")
 
 

@@ -105,7 +105,7 @@ def _training_partitions(df: DataFrame, rows: int) -> int:
     """Partitions to iterate over: every pass visits all of them, so a sample of a
     large table must not keep that table's partitions, and a large one needs many."""
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(rows / 200_000), min(parallelism, math.ceil(rows / 1_000)))
+    return max(1, math.ceil(rows / 200_000), min(parallelism, math.ceil(rows / 5_000)))
 
 
 def weighted_features(

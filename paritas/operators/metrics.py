@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from paritas.catalogue import METRIC_COLUMNS, present_identities
 from paritas.functions.values import checked_score
-from paritas.operators.prepare import active_identities
+from paritas.operators.prepare import active_identities, text_array
 from paritas.session import rank_buckets
 
 GROUP = "grp"
@@ -114,9 +114,9 @@ def with_score_range(
     n = ranges or rank_buckets(counts.sparkSession)
     if n == 1:
         return counts.withColumn("range", F.lit(0))
-    shares = [i / n for i in range(1, n)]
-    quantiles = F.percentile_approx(F.col("score").cast("double"), shares, max(10_000, 10 * n))
-    cuts = scores.select(quantiles.alias("cuts")).scalar()
+    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    quantiles = f"percentile_approx(CAST(score AS DOUBLE), array({shares}), {max(10_000, 10 * n)})"
+    cuts = scores.select(F.expr(quantiles).alias("cuts")).scalar()
     return (
         counts.withColumn("cuts", cuts)
         .withColumn("range", _range_of(F.col("score"), F.col("cuts"), n))
@@ -307,11 +307,20 @@ def metrics_per_group(
     )
     # One row per group and model here, so the window is over a small table.
     per_model = W.partitionBy(*keys)
-    for name in ("auc", "fnr", "fpr"):
-        whole = F.when(F.col(GROUP).isNull(), F.col(f"subgroup_{name}"))
-        metrics = metrics.withColumn(f"overall_{name}", F.max(whole).over(per_model))
-    return metrics.where(F.col(GROUP).isNotNull()).select(
-        *keys, GROUP, "total_examples", *METRIC_COLUMNS
+    whole = F.when(F.col(GROUP).isNull(), F.struct(*METRIC_COLUMNS[3:]))
+    return (
+        metrics.withColumn("whole", F.max(whole).over(per_model))
+        .where(F.col(GROUP).isNotNull())
+        .select(
+            *keys,
+            GROUP,
+            "total_examples",
+            *[
+                F.col(f"whole.subgroup_{name}").alias(f"overall_{name}")
+                for name in ("auc", "fnr", "fpr")
+            ],
+            *METRIC_COLUMNS[3:],
+        )
     )
 
 
@@ -331,9 +340,9 @@ def bias_metrics(
     members or without predictions.
     """
     registry = registered_models(scored.sparkSession, models, keys)
-    positions = F.array(F.lit(None).cast("int"), *[F.lit(i) for i in range(len(identities))])
-    wanted = registry.withColumn(GROUP, F.explode(positions))
-    names = F.array(*[F.lit(name) for name in identities])
+    positions = f"concat(array(CAST(NULL AS INT)), slice(sequence(0, {len(identities)}), 1, {len(identities)}))"
+    wanted = registry.withColumn(GROUP, F.explode(F.expr(positions)))
+    names = text_array(identities)
     known = F.lit(False)
     for row in models:
         match = F.lit(True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritas.catalogue import present_identities
-from paritas.functions.values import above, binary_label, text_or_empty, zero_if_missing
+from paritas.functions.values import binary_label, text_or_empty
 
 
 def prepare_comments(
@@ -17,62 +20,63 @@ def prepare_comments(
     Columns the table lacks are left out of the result. One projection, so only
     the columns named here are read from a columnar source.
     """
-    identities = present_identities(df.columns)
-    columns = []
-    if "id" in df.columns:
-        columns.append(F.col("id"))
-    if "comment_text" in df.columns:
-        text = F.col("comment_text")
-        columns.append((text_or_empty(text) if clean_text else text).alias("comment_text"))
-    columns.append(F.col("target"))
-    columns.append(binary_label(F.col("target"), threshold).alias("is_toxic"))
-    columns += [zero_if_missing(F.col(name)).alias(name) for name in identities]
-    return df.select(*columns)
-
-
-def identity_scores(df: DataFrame, identities: list[str] | None = None) -> DataFrame:
+    text = text_or_empty(F.col("comment_text")) if clean_text else F.col("comment_text")
+    columns = {
+        "id": F.col("id"),
+        "comment_text": text.alias("comment_text"),
+        "target": F.col("target"),
+        "is_toxic": binary_label(F.col("target"), threshold).alias("is_toxic"),
+    }
+    kept = [c for name, c in columns.items() if name in df.columns or name == "is_toxic"]
+    return df.select(*kept, *[_filled(name) for name in present_identities(df.columns)])
+
+
+# There are many identity columns, and a column built call by call costs the driver
+# more than the query: so the rules of functions.values stand here as parsed text.
+
+
+def _missing_as_zero(name: str) -> str:
+    return f"coalesce(nanvl(CAST(`{name}` AS DOUBLE), 0D), 0D)"
+
+
+def _filled(name: str) -> Column:
+    return F.expr(f"{_missing_as_zero(name)} AS `{name}`")
+
+
+def identity_scores(df: DataFrame, identities: Sequence[str] | None = None) -> DataFrame:
     """Wide identity columns to (id, ord, identity, score), missing scores as 0."""
     identities = identities or present_identities(df.columns)
-    return df.select(
-        "id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("ord"),
-                        F.lit(name).alias("identity"),
-                        zero_if_missing(F.col(name)).alias("score"),
-                    )
-                    for i, name in enumerate(identities)
-                ]
-            )
-        ).alias("entry"),
-    ).select("id", "entry.*")
-
-
-def active_identities(identities: list[str], membership_cut: float = 0.5):
-    """Column: positions of the identities a row belongs to, as array<int>.
+    entries = ", ".join(
+        f"struct({i} AS ord, '{name}' AS identity, {_missing_as_zero(name)} AS score)"
+        for i, name in enumerate(identities)
+    )
+    return df.select("id", F.expr(f"inline(array({entries}))"))
+
+
+def active_identities(identities: Sequence[str], membership_cut: float = 0.5) -> Column:
+    """Positions of the identities a row belongs to, as array<int>.
 
     Most rows belong to few groups, so this is far smaller than the wide score
     columns and is what travels through the joins and shuffles of the metrics.
     """
     if not identities:
         return F.array().cast("array<int>")
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(above(F.col(name), membership_cut), F.lit(i))
-                for i, name in enumerate(identities)
-            ]
-        )
+    entries = ", ".join(
+        f"IF({_missing_as_zero(name)} > {float(membership_cut)!r}D, {i}, NULL)"
+        for i, name in enumerate(identities)
     )
+    return F.expr(f"array_compact(array({entries}))")
+
+
+def text_array(names: Sequence[str]) -> Column:
+    """A constant array of strings, as one literal."""
+    return F.from_json(F.lit(json.dumps(list(names))), "array<string>")
 
 
 def subgroup_members(
-    df: DataFrame, identities: list[str] | None = None, membership_cut: float = 0.5
+    df: DataFrame, identities: Sequence[str] | None = None, membership_cut: float = 0.5
 ) -> DataFrame:
     """Long membership table (id, identity): only scores above the cut."""
     identities = identities or present_identities(df.columns)
-    names = F.array(*[F.lit(name) for name in identities])
     members = df.select("id", F.explode(active_identities(identities, membership_cut)).alias("i"))
-    return members.select("id", F.get(names, F.col("i")).alias("identity"))
+    return members.select("id", F.get(text_array(identities), F.col("i")).alias("identity"))

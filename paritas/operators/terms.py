@@ -39,7 +39,7 @@ def _runs(ordered: Column) -> Column:
 
 def document_terms(tokens: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, term, n): how often each distinct term occurs in each document."""
-    ordered = tokens.select(id_col, F.array_sort("tokens").alias("ordered"))
+    ordered = tokens.select(id_col, F.sort_array("tokens").alias("ordered"))
     runs = ordered.select(id_col, "ordered", _runs(F.col("ordered")).alias("starts"))
     entry = lambda start, i: F.struct(
         F.get(F.col("ordered"), start).alias("term"),
