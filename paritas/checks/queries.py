@@ -243,8 +243,8 @@ def auc_prefix_counts(spark, sf_dir):
 
 @query
 def bias_metrics(spark, sf_dir):
-    return metrics.bias_metrics(
-        _scored(spark, sf_dir), REGISTERED, IDENTITIES, scores=fx.scores(spark, sf_dir)
+    return metrics.evaluate_predictions(
+        _prepared(spark, sf_dir), fx.scores(spark, sf_dir), REGISTERED, IDENTITIES
     )
 
 

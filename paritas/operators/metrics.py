@@ -19,15 +19,16 @@ Pair counts are exact decimals: at 10^11 rows they no longer fit 64 bits.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paritas.catalogue import METRIC_COLUMNS, present_identities
 from paritas.functions.values import checked_score
 from paritas.operators.prepare import active_identities, text_array
-from paritas.session import rank_buckets
+from paritas.session import rank_ranges
 
 GROUP = "grp"
 
@@ -38,7 +39,7 @@ def attach_predictions(
     identities: Sequence[str] | None = None,
     membership_cut: float = 0.5,
 ) -> DataFrame:
-    """(dataset, model, id, is_toxic, score, groups): the join of labels and scores.
+    """Predictions with label and groups: the join of labels and scores on the id.
 
     Texts and wide identity scores are dropped before the join; a row carries its
     label and the short list of identities it belongs to.
@@ -53,8 +54,7 @@ def attach_predictions(
 def with_active_groups(
     scored: DataFrame, identities: Sequence[str] | None = None, membership_cut: float = 0.5
 ) -> DataFrame:
-    """The same for a table that carries labels, identities and scores together,
-    as the output of a scoring job does: no join is needed."""
+    """Add ``groups`` to rows that carry labels, identities and scores together."""
     identities = list(identities or present_identities(scored.columns))
     return scored.withColumn("groups", active_identities(identities, membership_cut))
 
@@ -89,39 +89,32 @@ def score_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _range_of(score: Column, cuts: Column, n_ranges: int) -> Column:
-    """Number of cut points at or below the score, by halving the step."""
-    steps = [1 << k for k in range((n_ranges - 1).bit_length() - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda below, step: F.when(
-            F.get(cuts, below + step - 1) <= score, below + step
-        ).otherwise(below),
-    )
-
-
 def with_score_range(
     counts: DataFrame, scores: DataFrame, ranges: int | None = None
 ) -> DataFrame:
-    """Add ``range``, increasing with the score.
+    """Add ``range``, increasing with the score. ``ranges`` is a power of four.
 
     Any increasing ranges give the same result. The cut points are quantiles of
     ``scores``, read from its score column alone, so between two of them lies at
     most about 1/ranges of the scored rows; rows of one score are a single count
-    by now. The cut points come back as one small array.
+    by now. The cut points come back as one small array, in which each score is
+    found by a four-way search of plain generated code.
     """
-    n = ranges or rank_buckets(counts.sparkSession)
-    if n == 1:
-        return counts.withColumn("range", F.lit(0))
+    n = ranges or rank_ranges(counts.sparkSession)
     shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
     quantiles = f"percentile_approx(CAST(score AS DOUBLE), array({shares}), {max(10_000, 10 * n)})"
-    cuts = scores.select(F.expr(quantiles).alias("cuts")).scalar()
-    return (
-        counts.withColumn("cuts", cuts)
-        .withColumn("range", _range_of(F.col("score"), F.col("cuts"), n))
-        .drop("cuts")
-    )
+    ranged = counts.withColumn("range", F.lit(0))
+    if n > 1:
+        cuts = scores.select(F.expr(quantiles).alias("cuts")).scalar()
+        ranged = ranged.withColumn("cuts", cuts)
+    step = n // 4
+    while step:
+        passed = " + ".join(
+            f"IF(get(cuts, range + {k * step - 1}) <= score, 1, 0)" for k in (1, 2, 3)
+        )
+        ranged = ranged.withColumn("range", F.expr(f"range + {step} * ({passed})"))
+        step //= 4
+    return ranged.drop("cuts")
 
 
 def _wide(count: Column) -> Column:
@@ -142,7 +135,8 @@ def range_totals(
     ranges: int | None = None,
 ) -> DataFrame:
     """Confusion counts and twice the ordered pairs inside each score range."""
-    cell = [*keys, GROUP, "range"]
+    # The range first: it has the most values, which makes the sort cheaper.
+    cell = ["range", *keys, GROUP]
     positive = F.col("score") >= F.lit(float(threshold))
     ranked = with_score_range(counts, scores, ranges).withColumn(
         "below", _negatives_below(cell, "score", "neg")
@@ -264,20 +258,6 @@ def score_prefix_counts(
     )
 
 
-def _literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    entries = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
-
-
-def registered_models(
-    spark: SparkSession, models: Sequence[tuple], keys: Sequence[str]
-) -> DataFrame:
-    """The registry as a table: one row per key tuple, e.g. (dataset, model)."""
-    return _literal_rows(spark, keys, models)
-
-
 def metrics_per_group(
     scored: DataFrame,
     groups: DataFrame,
@@ -324,43 +304,101 @@ def metrics_per_group(
     )
 
 
-def bias_metrics(
+def located(df: DataFrame, models: Sequence[tuple], keys: Sequence[str]) -> DataFrame:
+    """Rows of the listed models, their key columns replaced by ``unit``, the model's
+    position in the list: what is shuffled is a number instead of names."""
+    if not models:
+        raise ValueError("no models to evaluate")
+    unit = F
+    for i, row in enumerate(models):
+        same = reduce(
+            Column.__and__, [F.col(k) == F.lit(v) for k, v in zip(keys, row, strict=True)]
+        )
+        unit = unit.when(same, F.lit(i))
+    return df.withColumn("unit", unit).where(F.col("unit").isNotNull()).drop(*keys)
+
+
+def metrics_of_units(
     scored: DataFrame,
+    groups: DataFrame,
     models: Sequence[tuple],
-    identities: Sequence[str],
-    keys: Sequence[str] = ("dataset", "model"),
+    keys: Sequence[str],
     threshold: float = 0.5,
     scores: DataFrame | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """(keys, ord, identity, total_examples, overall and subgroup metrics).
+    """:func:`metrics_per_group` of rows and groups that are :func:`located`."""
+    metrics = metrics_per_group(scored, groups, ["unit"], threshold, scores, ranges)
+    names = [
+        F.get(text_array([row[k] for row in models]), F.col("unit")).alias(key)
+        for k, key in enumerate(keys)
+    ]
+    return metrics.select(*names, GROUP, "total_examples", *METRIC_COLUMNS)
 
-    ``scored`` comes from :func:`attach_predictions` or :func:`with_active_groups`.
-    There is one row for every registered model and every identity, also without
-    members or without predictions.
-    """
-    registry = registered_models(scored.sparkSession, models, keys)
-    positions = f"concat(array(CAST(NULL AS INT)), slice(sequence(0, {len(identities)}), 1, {len(identities)}))"
-    wanted = registry.withColumn(GROUP, F.explode(F.expr(positions)))
-    names = text_array(identities)
-    known = F.lit(False)
-    for row in models:
-        match = F.lit(True)
-        for key, value in zip(keys, row, strict=True):
-            match = match & (F.col(key) == F.lit(value))
-        known = known | match
-    metrics = metrics_per_group(
-        scored.where(known), wanted, keys, threshold, scores, ranges
+
+def _identity_metrics(
+    scored: DataFrame,
+    models: Sequence[tuple],
+    identities: Sequence[str],
+    keys: Sequence[str],
+    threshold: float,
+    scores: DataFrame | None,
+    ranges: int | None,
+) -> DataFrame:
+    count = len(identities)
+    positions = f"concat(array(CAST(NULL AS INT)), slice(sequence(0, {count}), 1, {count}))"
+    units = scored.sparkSession.range(0, len(models), 1, 1).select(
+        F.col("id").cast("int").alias("unit"), F.explode(F.expr(positions)).alias(GROUP)
     )
+    metrics = metrics_of_units(scored, units, models, keys, threshold, scores, ranges)
     return metrics.select(
         *keys,
         F.col(GROUP).alias("ord"),
-        F.get(names, F.col(GROUP)).alias("identity"),
+        F.get(text_array(identities), F.col(GROUP)).alias("identity"),
         "total_examples",
         *METRIC_COLUMNS,
     )
 
 
+def bias_metrics(
+    scored: DataFrame,
+    models: Sequence[tuple],
+    identities: Sequence[str],
+    keys: Sequence[str] = ("dataset", "model"),
+    threshold: float = 0.5,
+    ranges: int | None = None,
+) -> DataFrame:
+    """(keys, ord, identity, total_examples, overall and subgroup metrics).
+
+    For rows that carry label, groups and score together, such as the output of a
+    scoring job after :func:`with_active_groups`; no join is needed. There is one row
+    for every registered model and every identity, also without members or without
+    predictions.
+    """
+    rows = located(scored, models, keys)
+    return _identity_metrics(rows, models, identities, keys, threshold, None, ranges)
+
+
+def evaluate_predictions(
+    labelled: DataFrame,
+    predictions: DataFrame,
+    models: Sequence[tuple],
+    identities: Sequence[str],
+    keys: Sequence[str] = ("dataset", "model"),
+    threshold: float = 0.5,
+    membership_cut: float = 0.5,
+    ranges: int | None = None,
+) -> DataFrame:
+    """:func:`bias_metrics` of a prediction table (keys, id, score) against labels.
+
+    The one wide shuffle is the join on the id, of a number, an id and a score with
+    a label and a short list.
+    """
+    wanted = located(predictions, models, keys).select("unit", "id", "score")
+    scored = attach_predictions(labelled, wanted, identities, membership_cut)
+    return _identity_metrics(scored, models, identities, keys, threshold, wanted, ranges)
+
+
 def flat_metrics(metrics: DataFrame, keys: Sequence[str] = ("dataset", "model")) -> DataFrame:
     """(keys, metric, value): ``roc_auc`` and ``<identity>_subgroup_<metric>``,
     without undefined subgroup entries."""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from paritas.catalogue import METRIC_COLUMNS
 from paritas.functions.groups import parse_groups
 from paritas.functions.values import above, zero_if_missing
-from paritas.operators.metrics import GROUP, metrics_per_group, registered_models
+from paritas.operators.metrics import GROUP, located, metrics_of_units
 
 # Column names under which such tables carry their groups and text.
 GROUP_COLUMNS = ("target_groups", "target_group", "group")
@@ -111,32 +111,28 @@ def ood_bias_metrics(
     """(model, identity, first_row, first_place, total_examples, metrics) over
     parsed groups.
 
-    ``labelled`` has id, label and groups; all models are evaluated in one plan.
+    ``labelled`` has id, label and groups, ``predictions`` model, id and score. All
+    models are evaluated in one plan.
     """
-    scored = predictions.where(F.col("model").isin(*models)).join(
+    keys, listed = ["model"], [(m,) for m in models]
+    wanted = located(predictions, listed, keys).select("unit", "id", "score")
+    scored = wanted.join(
         labelled.select("id", F.col("label").alias("is_toxic"), "groups"), "id"
     )
-    return grouped_bias_metrics(scored, labelled, models, threshold, predictions, ranges)
-
-
-def grouped_bias_metrics(
-    scored: DataFrame,
-    labelled: DataFrame,
-    models: Sequence[str],
-    threshold: float = 0.5,
-    scores: DataFrame | None = None,
-    ranges: int | None = None,
-) -> DataFrame:
-    """The same for rows that already carry model, score, is_toxic and groups."""
-    keys = ["model"]
     catalogue = or_placeholder(group_catalogue(labelled))
-    registry = F.array(*[F.lit(m) for m in models])
-    every = catalogue.select(F.explode(registry).alias("model"), F.col("group").alias(GROUP))
-    whole = registered_models(scored.sparkSession, [(m,) for m in models], keys).withColumn(
-        GROUP, F.lit(None).cast("string")
+    units = F.sequence(F.lit(0), F.lit(len(models) - 1))
+    # The whole table, as null, next to every group.
+    groups = catalogue.select(F.col("group").alias(GROUP)).unionByName(
+        scored.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias(GROUP))
     )
-    metrics = metrics_per_group(
-        scored, every.unionByName(whole), keys, threshold, scores, ranges
+    metrics = metrics_of_units(
+        scored,
+        groups.select(F.explode(units).alias("unit"), GROUP),
+        listed,
+        keys,
+        threshold,
+        wanted,
+        ranges,
     )
     return metrics.join(catalogue, F.col(GROUP) == F.col("group")).select(
         "model",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paritas.catalogue import BASELINE, ZERO_SHOT, ModelSpec
 from paritas.operators.classifier import score_baseline, train_baseline
-from paritas.operators.metrics import attach_predictions, bias_metrics
+from paritas.operators.metrics import evaluate_predictions
 from paritas.operators.scoring import score_texts, score_zero_shot
 from paritas.sources.files import path_exists
 from paritas.sources.models import load_pipeline, save_pipeline
@@ -98,9 +98,8 @@ def run_metrics(
     data = read_splits(spark, data_dir)
     path = f"{results_dir}/predictions"
     predictions = read_predictions(spark, path).where(F.col("dataset") == COMMENTS)
-    scored = attach_predictions(data.evaluation, predictions, data.identities)
-    metrics = bias_metrics(
-        scored, [(COMMENTS, m.key) for m in models], data.identities, scores=predictions
+    metrics = evaluate_predictions(
+        data.evaluation, predictions, [(COMMENTS, m.key) for m in models], data.identities
     )
     # The metrics are a few rows per model; one written table serves all CSV files.
     table = f"{results_dir}/metrics/{COMMENTS}"

@@ -27,11 +27,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def rank_buckets(spark: SparkSession) -> int:
-    """How many score ranges to rank in: one per shuffle partition of the
-    session, so the setting that sizes its shuffles sizes the ranking too."""
+def rank_ranges(spark: SparkSession) -> int:
+    """How many score ranges to rank in: at least one per shuffle partition of the
+    session, so the setting that sizes its shuffles sizes the ranking too. Finding a
+    score's range takes four-way steps, hence a power of four."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, partitions))
+    return next((n for n in (16, 64, 256, 1024) if n >= partitions), 4096)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_auc_equals_all_pairs_for_every_group_and_range_count(spark):
     expected = {None: brute_auc([(y, s) for y, s, _ in rows])}
     for g in range(3):
         expected[g] = brute_auc([(y, s) for y, s, groups in rows if g in groups])
-    for ranges in (1, 2, 16, 333):
+    for ranges in (1, 4, 16, 256):
         assert auc_of(spark, rows, ranges) == expected
 
 
