@@ -8,7 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.catalogue import BASELINE, METRIC_COLUMNS, METRIC_HEADERS, ModelSpec
+from paritas.catalogue import (
+    BASELINE,
+    METRIC_COLUMNS,
+    METRIC_HEADERS,
+    ModelSpec,
+    safe_name,
+)
 from paritas.functions.values import binary_prediction
 
 # Fixed value: name of the line that holds the values of the whole data set.
@@ -182,7 +188,8 @@ def compile_predictions(
 
 def with_display_names(df: DataFrame, models: Sequence[str], column: str = "safe_name") -> DataFrame:
     """Add ``model``: the registered name behind a file-safe one, else that itself."""
-    pairs = [F.lit(v) for m in models for v in (m.replace("/", "_"), m)]
+    by_safe_name = {safe_name(m): m for m in models}
+    pairs = [F.lit(v) for pair in by_safe_name.items() for v in pair]
     known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return df.withColumn(
         "model", F.coalesce(F.try_element_at(known, F.col(column)), F.col(column))
