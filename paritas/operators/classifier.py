@@ -101,11 +101,20 @@ def tfidf_weights(df: DataFrame, stages: list, id_col: str = "id") -> DataFrame:
     )
 
 
-def _training_partitions(df: DataFrame, rows: int) -> int:
-    """Partitions to iterate over: every pass visits all of them, so a sample of a
-    large table must not keep that table's partitions, and a large one needs many."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(rows / 200_000), min(parallelism, math.ceil(rows / 5_000)))
+# Training sets up to this size are gathered into few partitions before the passes.
+GATHERED_ROWS = 1_000_000
+
+
+def _gathered(vectors: DataFrame, rows: int) -> DataFrame:
+    """Vectors in as many partitions as their number deserves.
+
+    Every pass visits all partitions, so a sample of a large table must not keep that
+    table's. A large training set stays where it is: its vectors are not shuffled.
+    """
+    if rows > GATHERED_ROWS:
+        return vectors
+    parallelism = vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.repartition(max(1, min(parallelism, math.ceil(rows / 5_000))))
 
 
 def weighted_features(
@@ -115,13 +124,12 @@ def weighted_features(
     weight = F.when(
         F.col(label) == 1, F.lit(counts.total / (2.0 * max(counts.positive, 1)))
     ).otherwise(F.lit(counts.total / (2.0 * max(counts.negative, 1))))
-    return (
+    vectors = (
         PipelineModel(stages)
         .transform(df)
         .select("features", F.col(label).cast("double").alias("label"), weight.alias("weight"))
-        .repartition(_training_partitions(df, counts.total))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    return _gathered(vectors, counts.total).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_logistic(features: DataFrame, rows: int, strength: float = 1.0):

@@ -18,6 +18,7 @@ Pair counts are exact decimals: at 10^11 rows they no longer fit 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -101,6 +102,8 @@ def with_score_range(
     found by a four-way search of plain generated code.
     """
     n = ranges or rank_ranges(counts.sparkSession)
+    if 4 ** round(math.log(n, 4)) != n:
+        raise ValueError(f"the number of score ranges must be a power of four, not {n}")
     shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
     quantiles = f"percentile_approx(CAST(score AS DOUBLE), array({shares}), {max(10_000, 10 * n)})"
     ranged = counts.withColumn("range", F.lit(0))

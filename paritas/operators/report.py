@@ -93,6 +93,12 @@ def report_section(report: DataFrame, section: str, models: Sequence[str]) -> Da
     return report.select("identity", *columns)
 
 
+def preview(metrics: DataFrame, rows: int = 10) -> DataFrame:
+    """The first lines of a metric table in reporting order."""
+    order = [c for c in ("model", "ord", "first_row", "first_place") if c in metrics.columns]
+    return metrics.orderBy(*order).limit(rows)
+
+
 def bias_gaps(metrics: DataFrame) -> DataFrame:
     """Subgroup minus overall value, the way the report is meant to be read."""
     gap = lambda name: (F.col(f"subgroup_{name}") - F.col(f"overall_{name}")).alias(
@@ -143,8 +149,9 @@ def compile_predictions(
     """(sentence, dataset, true_label, one 0/1 column per model).
 
     ``base`` maps a data set's name to its (id, sentence, true_label). Predictions
-    are first made wide, one narrow row per (dataset, id), and meet the texts in one
-    join on the id; a model whose predictions are incomplete gets nulls.
+    of a data set are first made wide, one narrow row per id, and meet the texts in
+    one join on the id. If the texts are stored in buckets of the id, that join
+    shuffles only the predictions. A model whose predictions are incomplete gets nulls.
     """
     keys = [m.key for m in models]
     gate = prediction_count_gate(base, predictions, keys)
@@ -156,25 +163,20 @@ def compile_predictions(
         ]
     )
     label = binary_prediction(F.col("score"), threshold)
-    wide = (
-        predictions.where(F.col("model").isin(*keys))
-        .groupBy("dataset", "id")
-        .agg(
-            *[
-                F.max(F.when(F.col("model") == key, label)).alias(f"p{i}")
-                for i, key in enumerate(keys)
-            ]
+    columns = [
+        F.max(F.when(F.col("model") == key, label)).alias(f"p{i}") for i, key in enumerate(keys)
+    ]
+    sections = []
+    for name, df in base.items():
+        wanted = (F.col("dataset") == name) & F.col("model").isin(*keys)
+        wide = predictions.where(wanted).groupBy("id").agg(*columns)
+        sections.append(
+            df.select("id", "sentence", "true_label")
+            .join(wide, "id", "left")
+            .withColumn("dataset", F.lit(name))
         )
-    )
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            df.select("id", "sentence", F.lit(name).alias("dataset"), "true_label")
-            for name, df in base.items()
-        ],
-    )
     return (
-        rows.join(wide, ["dataset", "id"], "left")
+        reduce(DataFrame.unionByName, sections)
         .join(F.broadcast(complete), "dataset", "left")
         .select(
             *PREDICTION_BASE,

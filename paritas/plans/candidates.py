@@ -16,9 +16,10 @@ from paritas.operators.classifier import (
     tfidf_stages,
     weighted_features,
 )
-from paritas.operators.metrics import bias_metrics, with_active_groups
+from paritas.operators.metrics import best_run, bias_metrics, with_active_groups
 from paritas.operators.split import truncate_then_split
 from paritas.session import written
+from paritas.sources.models import save_pipeline
 
 STRENGTHS = (0.1, 1.0, 10.0)
 
@@ -77,3 +78,20 @@ def candidate_metrics(
     scored = written(scores.select("model", "id", "is_toxic", "score", "groups"), "candidates")
     keys = ["model"]
     return bias_metrics(scored, [(name,) for name in candidates], identities, keys), candidates
+
+
+def run_candidates(
+    prepared: DataFrame,
+    identities: Sequence[str],
+    model_path: str,
+    n: int = -1,
+    seed: int = 42,
+    strengths: Sequence[float] = STRENGTHS,
+) -> DataFrame:
+    """Train, measure, and save the candidate with the greatest overall AUC."""
+    measured, candidates = candidate_metrics(prepared, identities, n, seed, strengths)
+    best = best_run(measured.where(F.col("ord") == 0)).first()
+    if best["run"] is None:
+        raise ValueError("no candidate has a defined AUC on the validation rows")
+    save_pipeline(candidates[best["run"]], model_path)
+    return measured

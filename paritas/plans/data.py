@@ -25,5 +25,6 @@ def run_data(
     landed = f"{data_dir}/comments"
     load_comments(spark, source).write.mode("overwrite").parquet(landed)
     comments = spark.read.parquet(landed)
-    write_splits(train_eval_slices(comments, train_n, eval_n, seed=seed), data_dir)
+    slices = train_eval_slices(comments, train_n, eval_n, seed=seed)
+    write_splits(slices, data_dir, compact=train_n > 0 and eval_n > 0)
     return read_splits(spark, data_dir)

@@ -42,7 +42,7 @@ def run_ood(
     predictions = read_predictions(spark, path).where(F.col("dataset") == OUT_OF_DOMAIN)
     metrics = ood_bias_metrics(with_groups(table), predictions, [m.key for m in done])
     written = f"{results_dir}/metrics/{OUT_OF_DOMAIN}"
-    metrics.coalesce(1).write.mode("overwrite").parquet(written)
+    metrics.write.mode("overwrite").parquet(written)
     metrics = spark.read.parquet(written)
     write_ood_metrics(metrics, results_dir)
     return metrics

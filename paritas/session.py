@@ -15,6 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     driver and executors are one process, falls back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

@@ -16,13 +16,30 @@ class SavedData(NamedTuple):
     identities: list[str]
 
 
-def write_splits(split_df: DataFrame, path: str) -> None:
-    """One folder per split, plus the identity columns as a small table."""
+def write_splits(split_df: DataFrame, path: str, compact: bool = False) -> None:
+    """One folder per split, plus the identity columns as a small table.
+
+    ``compact`` is for slices that are small against the table they come from: their
+    rows are gathered into files of a sensible size instead of one per scanned part.
+    """
     spark = split_df.sparkSession
-    split_df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
+    rows = split_df.hint("rebalance", "split") if compact else split_df
+    rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
     write_identities(spark, present_identities(split_df.columns), path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "id") -> None:
+    """A table in sorted buckets of the id, for texts that are joined again and again:
+    a later join on the id reads them in place and shuffles only the other side."""
+    (
+        df.write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
 def write_identities(spark: SparkSession, identities: list[str], path: str) -> None:
     rows = list(enumerate(identities))
     listed = spark.createDataFrame(rows, "ord int, identity string")

@@ -205,3 +205,10 @@ def test_best_run_ignores_undefined_and_breaks_ties_by_name(spark):
     assert tuple(metrics.best_run(runs).first()) == ("a", 0.9)
     undefined = runs.where(F.col("model") == "x")
     assert tuple(metrics.best_run(undefined).first()) == (None, None)
+
+
+def test_number_of_ranges_is_checked(spark):
+    with pytest.raises(ValueError, match="power of four"):
+        auc_of(spark, [(1, 0.5, [])], ranges=10)
+    with pytest.raises(ValueError, match="no models"):
+        table(spark, [(1, 0.5, [])], models=())

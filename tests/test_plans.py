@@ -8,7 +8,10 @@ from paritas.checks import fixtures as fx
 from paritas.checks.queries import QUERIES
 from paritas.operators import split
 from paritas.operators.prepare import prepare_comments
+from paritas.operators.report import compile_predictions, prediction_count_gate
 from paritas.operators.terms import document_terms, document_tokens
+from paritas.sources.results import read_predictions, write_predictions
+from paritas.sources.splits import write_bucketed
 
 
 def plan(df):
@@ -74,3 +77,38 @@ def test_saved_split_reads_its_folder_only(spark, small, tmp_path):
     split.split_train_eval(fx.jigsaw(spark, small)).write.partitionBy("split").parquet(path)
     train = spark.read.parquet(path).where(F.col("split") == "train")
     assert re.search(r"PartitionFilters: \[isnotnull\(split#\d+\), \(split#\d+ = train\)\]", plan(train))
+
+
+def test_bucketed_texts_are_not_shuffled_for_the_compiled_table(spark, small, tmp_path):
+    texts = prepare_comments(fx.jigsaw(spark, small)).selectExpr(
+        "id", "comment_text AS sentence", "is_toxic AS true_label"
+    )
+    write_bucketed(texts, "bucketed_texts", str(tmp_path / "bucketed"), 8)
+    predictions_path = str(tmp_path / "predictions")
+    write_predictions(fx.scores(spark, small), predictions_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compiled = compile_predictions(
+            {fx.DATASET: spark.table("bucketed_texts")},
+            read_predictions(spark, predictions_path),
+            fx.REGISTRY,
+        )
+        text = plan(compiled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_texts")
+    join = text[text.index("SortMergeJoin") :]
+    left = join[: join.index("Exchange hashpartitioning(id")]
+    assert "bucketed_texts" in left or "sentence:string" in left
+    assert "Bucketed: true" in join
+
+
+def test_counting_predictions_reads_no_column(spark, small, tmp_path):
+    path = str(tmp_path / "predictions")
+    write_predictions(fx.scores(spark, small), path)
+    gate = prediction_count_gate(
+        {fx.DATASET: fx.table(spark, small, "documents")},
+        read_predictions(spark, path),
+        fx.MODEL_KEYS,
+    )
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan(gate))) == {""}

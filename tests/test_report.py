@@ -112,3 +112,10 @@ def test_display_names(spark):
     named = report.with_display_names(df, ["o/m"]).collect()
     assert {tuple(r) for r in named} == {("o_m", "o/m"), ("x_y", "x_y")}
     assert report.with_display_names(df, []).count() == 2
+
+
+def test_preview_in_reporting_order(spark):
+    long = metrics(spark, *[("Baseline", o, f"i{o:02d}", 1, 0.5) for o in reversed(range(12))])
+    assert [r["identity"] for r in report.preview(long).collect()] == [
+        f"i{o:02d}" for o in range(10)
+    ]

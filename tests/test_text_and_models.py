@@ -8,6 +8,7 @@ from paritas.functions.scores import logits_to_score, zero_shot_score
 from paritas.functions.text import ENGLISH_STOP_WORDS, tokenize, without_stop_words
 from paritas.operators import classifier, terms
 from paritas.operators.scoring import score_texts, score_zero_shot
+from paritas.plans.candidates import run_candidates
 from paritas.sources.models import load_pipeline, model_paths, save_pipeline
 
 
@@ -151,3 +152,11 @@ def test_model_paths(spark):
         ("b", "b"),
         ("c", "c"),
     }
+
+
+def test_best_candidate_is_saved(spark, tmp_path):
+    path = str(tmp_path / "best")
+    prepared = comments(spark).withColumn("asian", F.lit(1.0))
+    measured = run_candidates(prepared, ["asian"], path, strengths=(0.5, 5.0))
+    assert {r["model"] for r in measured.collect()} == {"C=0.5", "C=5"}
+    assert load_pipeline(spark, path).stages[-1].numFeatures > 0
