@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -132,23 +133,32 @@ def weighted_features(
     return _gathered(vectors, counts.total).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_logistic(features: DataFrame, rows: int, strength: float = 1.0):
-    """Balanced logistic regression with L2 penalty of the given inverse weight.
+def fit_logistic(
+    features: DataFrame, rows: int, penalties: Sequence[float] = (1.0,)
+) -> list[LogisticRegressionModel]:
+    """Balanced logistic regressions, one per weight of the L2 penalty.
 
-    The penalty is usually stated against the sum of losses; Spark's loss is their
-    mean, so it is divided by the number of rows.
+    The penalty is stated against the sum of losses; Spark's loss is their mean, so
+    it is divided by the number of rows. The fits share the features and run side by
+    side, since each one is a long row of short jobs.
     """
-    return LogisticRegression(
+    logistic = LogisticRegression(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
-        regParam=strength / rows,
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=True,
         maxIter=MAX_ITERATIONS,
         tol=1e-6,
-    ).fit(features)
+    )
+    fits = logistic.fitMultiple(
+        features, [{logistic.regParam: penalty / rows} for penalty in penalties]
+    )
+    fit_next = inheritable_thread_target(features.sparkSession)(lambda _: next(fits))
+    with ThreadPool(len(penalties)) as pool:
+        models = dict(pool.map(fit_next, penalties, chunksize=1))
+    return [models[i] for i in range(len(penalties))]
 
 
 def train_baseline(
@@ -165,7 +175,7 @@ def train_baseline(
     stages = tfidf_stages(train, text, size, stop_words)
     features = weighted_features(train, stages, counts, label)
     try:
-        model = fit_logistic(features, counts.total)
+        (model,) = fit_logistic(features, counts.total)
     finally:
         features.unpersist()
     return PipelineModel([*stages, model])

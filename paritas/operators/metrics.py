@@ -90,26 +90,47 @@ def score_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# Sketches are merged in this many tasks before the last one merges their results.
+SKETCH_GROUPS = 1024
+
+
+def _cut_points(scores: DataFrame, n: int) -> Column:
+    """The n - 1 scores that cut the table into about equal parts, as one array.
+
+    A quantile sketch leaves every task that reads a score. There may be very many
+    of them, so they are merged in groups first, and the quantiles of the groups
+    give the quantiles of the whole: a single task only ever sees those.
+    """
+    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    quantiles = F.expr(f"percentile_approx(score, array({shares}), {max(1_000, 4 * n)})")
+    grouped = (
+        scores.select(
+            F.col("score").cast("double").alias("score"),
+            (F.spark_partition_id() % SKETCH_GROUPS).alias("part"),
+        )
+        .groupBy("part")
+        .agg(quantiles.alias("cuts"))
+    )
+    return grouped.select(F.explode("cuts").alias("score")).agg(quantiles).scalar()
+
+
 def with_score_range(
     counts: DataFrame, scores: DataFrame, ranges: int | None = None
 ) -> DataFrame:
     """Add ``range``, increasing with the score. ``ranges`` is a power of four.
 
     Any increasing ranges give the same result. The cut points are quantiles of
-    ``scores``, read from its score column alone, so between two of them lies at
-    most about 1/ranges of the scored rows; rows of one score are a single count
-    by now. The cut points come back as one small array, in which each score is
-    found by a four-way search of plain generated code.
+    ``scores``, read from its score column alone, so between two of them lie only
+    one or two in ``ranges`` of the scored rows; rows of one score are a single
+    count by now. The cut points come back as one small array, in which each score
+    is found by a four-way search of plain generated code.
     """
     n = ranges or rank_ranges(counts.sparkSession)
     if 4 ** round(math.log(n, 4)) != n:
         raise ValueError(f"the number of score ranges must be a power of four, not {n}")
-    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    quantiles = f"percentile_approx(CAST(score AS DOUBLE), array({shares}), {max(10_000, 10 * n)})"
     ranged = counts.withColumn("range", F.lit(0))
     if n > 1:
-        cuts = scores.select(F.expr(quantiles).alias("cuts")).scalar()
-        ranged = ranged.withColumn("cuts", cuts)
+        ranged = ranged.withColumn("cuts", _cut_points(scores, n))
     step = n // 4
     while step:
         passed = " + ".join(

@@ -21,24 +21,26 @@ from paritas.operators.split import truncate_then_split
 from paritas.session import written
 from paritas.sources.models import save_pipeline
 
-STRENGTHS = (0.1, 1.0, 10.0)
+# Weights of the L2 penalty to choose from.
+PENALTIES = (0.1, 1.0, 10.0)
 
 
-def candidate_name(strength: float) -> str:
-    return f"C={strength:g}"
+def candidate_name(penalty: float) -> str:
+    return f"L2={penalty:g}"
 
 
 def train_candidates(
-    train: DataFrame, strengths: Sequence[float] = STRENGTHS
+    train: DataFrame, penalties: Sequence[float] = PENALTIES
 ) -> dict[str, PipelineModel]:
     """One pipeline per penalty; texts are turned into vectors once for all."""
     counts = class_counts(train)
     stages = tfidf_stages(train)
     features = weighted_features(train, stages, counts)
     try:
+        models = fit_logistic(features, counts.total, penalties)
         return {
-            candidate_name(s): PipelineModel([*stages, fit_logistic(features, counts.total, s)])
-            for s in strengths
+            candidate_name(penalty): PipelineModel([*stages, model])
+            for penalty, model in zip(penalties, models, strict=True)
         }
     finally:
         features.unpersist()
@@ -67,13 +69,13 @@ def candidate_metrics(
     identities: Sequence[str],
     n: int = -1,
     seed: int = 42,
-    strengths: Sequence[float] = STRENGTHS,
+    penalties: Sequence[float] = PENALTIES,
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Train on the first 90 % of ``n`` shuffled rows, measure on the rest."""
     split = truncate_then_split(prepared, n, seed=seed)
     train = split.where(F.col("split") == "train").drop("split")
     validation = split.where(F.col("split") == "validation").drop("split")
-    candidates = train_candidates(train, strengths)
+    candidates = train_candidates(train, penalties)
     scores = with_active_groups(candidate_scores(validation, candidates), identities)
     scored = written(scores.select("model", "id", "is_toxic", "score", "groups"), "candidates")
     keys = ["model"]
@@ -86,10 +88,10 @@ def run_candidates(
     model_path: str,
     n: int = -1,
     seed: int = 42,
-    strengths: Sequence[float] = STRENGTHS,
+    penalties: Sequence[float] = PENALTIES,
 ) -> DataFrame:
     """Train, measure, and save the candidate with the greatest overall AUC."""
-    measured, candidates = candidate_metrics(prepared, identities, n, seed, strengths)
+    measured, candidates = candidate_metrics(prepared, identities, n, seed, penalties)
     best = best_run(measured.where(F.col("ord") == 0)).first()
     if best["run"] is None:
         raise ValueError("no candidate has a defined AUC on the validation rows")

@@ -157,6 +157,6 @@ def test_model_paths(spark):
 def test_best_candidate_is_saved(spark, tmp_path):
     path = str(tmp_path / "best")
     prepared = comments(spark).withColumn("asian", F.lit(1.0))
-    measured = run_candidates(prepared, ["asian"], path, strengths=(0.5, 5.0))
-    assert {r["model"] for r in measured.collect()} == {"C=0.5", "C=5"}
+    measured = run_candidates(prepared, ["asian"], path, penalties=(0.5, 5.0))
+    assert {r["model"] for r in measured.collect()} == {"L2=0.5", "L2=5"}
     assert load_pipeline(spark, path).stages[-1].numFeatures > 0
