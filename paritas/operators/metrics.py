@@ -246,7 +246,8 @@ def group_auc(
 ) -> DataFrame:
     """Exact AUC per (keys, group), with the class sizes it rests on."""
     counts = score_counts(group_rows(scored, keys), keys)
-    totals = group_totals(range_totals(counts, scored if scores is None else scores, keys, ranges=ranges), keys)
+    source = scored if scores is None else scores
+    totals = group_totals(range_totals(counts, source, keys, ranges=ranges), keys)
     return totals.select(*keys, GROUP, "pos", "neg", auc_column().alias("auc"))
 
 
@@ -269,7 +270,8 @@ def score_prefix_counts(
     counts = with_score_range(counts, scored if scores is None else scores, ranges)
     local = counts.withColumn("inside", _negatives_below([*cell, "range"], "score", "neg"))
     # The filter drops nothing that counts; it keeps this branch on the same shuffle.
-    offsets = counts.where(F.col("pos") + F.col("neg") > 0).groupBy(*cell, "range").agg(F.sum("neg").alias("range_neg"))
+    totals = counts.where(F.col("pos") + F.col("neg") > 0).groupBy(*cell, "range")
+    offsets = totals.agg(F.sum("neg").alias("range_neg"))
     offsets = offsets.select(
         *[F.col(c).alias(f"_{c}") for c in (*cell, "range")],
         _negatives_below(cell, "range", "range_neg").alias("before"),

@@ -66,14 +66,15 @@ def final_report(metrics: DataFrame, models: Sequence[str]) -> DataFrame:
             *wide,
         )
         .where(F.col("ord").isNotNull())
-        .select("ord", "identity", "total_examples", *[_quoted(m, c) for m, c in _pairs(models)])
+        .select(
+            "ord",
+            "identity",
+            "total_examples",
+            *[_quoted(model, metric) for model in models for metric in METRIC_COLUMNS],
+        )
     )
 
 
-def _pairs(models: Sequence[str]) -> list[tuple[str, str]]:
-    return [(model, metric) for model in models for metric in METRIC_COLUMNS]
-
-
 def _quoted(model: str, metric: str) -> Column:
     return F.col(f"`{report_header(model, metric)}`")
 
@@ -101,10 +102,11 @@ def preview(metrics: DataFrame, rows: int = 10) -> DataFrame:
 
 def bias_gaps(metrics: DataFrame) -> DataFrame:
     """Subgroup minus overall value, the way the report is meant to be read."""
-    gap = lambda name: (F.col(f"subgroup_{name}") - F.col(f"overall_{name}")).alias(
-        f"{name}_gap"
-    )
-    return metrics.select("dataset", "model", "identity", gap("auc"), gap("fnr"), gap("fpr"))
+    gaps = [
+        (F.col(f"subgroup_{name}") - F.col(f"overall_{name}")).alias(f"{name}_gap")
+        for name in ("auc", "fnr", "fpr")
+    ]
+    return metrics.select("dataset", "model", "identity", *gaps)
 
 
 def prediction_count_gate(
@@ -188,7 +190,9 @@ def compile_predictions(
     )
 
 
-def with_display_names(df: DataFrame, models: Sequence[str], column: str = "safe_name") -> DataFrame:
+def with_display_names(
+    df: DataFrame, models: Sequence[str], column: str = "safe_name"
+) -> DataFrame:
     """Add ``model``: the registered name behind a file-safe one, else that itself."""
     by_safe_name = {safe_name(m): m for m in models}
     pairs = [F.lit(v) for pair in by_safe_name.items() for v in pair]

@@ -41,10 +41,12 @@ def document_terms(tokens: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, term, n): how often each distinct term occurs in each document."""
     ordered = tokens.select(id_col, F.sort_array("tokens").alias("ordered"))
     runs = ordered.select(id_col, "ordered", _runs(F.col("ordered")).alias("starts"))
-    entry = lambda start, i: F.struct(
-        F.get(F.col("ordered"), start).alias("term"),
-        (F.coalesce(F.get(F.col("starts"), i + 1), F.size("ordered")) - start).alias("n"),
-    )
+
+    def entry(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), i + 1), F.size("ordered"))
+        term = F.get(F.col("ordered"), start)
+        return F.struct(term.alias("term"), (end - start).alias("n"))
+
     return runs.select(id_col, F.inline(F.transform(F.col("starts"), entry)))
 
 

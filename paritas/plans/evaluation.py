@@ -112,17 +112,18 @@ def run_metrics(
 
 
 def export_predictions(
-    spark: SparkSession, data_dir: str, results_dir: str, models: Sequence[ModelSpec]
+    texts: DataFrame, dataset: str, results_dir: str, models: Sequence[ModelSpec]
 ) -> None:
-    """Predictions next to their texts in the public CSV form."""
-    data = read_splits(spark, data_dir)
-    predictions = read_predictions(spark, f"{results_dir}/predictions")
+    """Predictions next to their texts in the public CSV form. ``texts`` has the id
+    and ``comment_text``, or ``text`` if the data set is out of domain."""
+    predictions = read_predictions(texts.sparkSession, f"{results_dir}/predictions")
+    text = "comment_text" if dataset == COMMENTS else "text"
     for model in models:
         of_model = predictions.where(
-            (F.col("dataset") == COMMENTS) & (F.col("model") == model.key)
+            (F.col("dataset") == dataset) & (F.col("model") == model.key)
         )
-        joined = data.evaluation.select("id", "comment_text").join(of_model, "id")
-        write_prediction_csv(joined, results_dir, model)
+        joined = texts.select("id", text).join(of_model, "id")
+        write_prediction_csv(joined, results_dir, model, out_of_domain=dataset != COMMENTS)
 
 
 def skip_if_done(spark: SparkSession, path: str, make: Callable[[], None]) -> bool:

@@ -154,7 +154,10 @@ def test_whole_pipeline(spark, root, tmp_path):
     assert (jigsaw["n"], jigsaw["baseline"], jigsaw["raw"], jigsaw["broken"]) == (20, 20, 20, 0)
     assert toxigen["n"] == toxigen["baseline"] > toxigen["raw"] == 0
 
-    export_predictions(spark, data_dir, results, [BASELINE_MODEL])
+    export_predictions(data.evaluation, "Jigsaw", results, [BASELINE_MODEL])
+    export_predictions(read_ood(spark, [f"{root}/ood"]), "ToxiGen", results, [BASELINE_MODEL])
+    outside = spark.read.option("header", True).csv(f"{results}/preds_Baseline_ood.csv")
+    assert outside.columns == ["text", "toxicity_score"]
     exported = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
         .csv(f"{results}/preds_Baseline.csv")

@@ -7,7 +7,8 @@ from paritas.operators import ood
 
 
 def parsed(spark, *values):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, target_group string")
+    rows = list(enumerate(values))
+    df = spark.createDataFrame(rows, "id int, target_group string")
     return [r["groups"] for r in ood.with_groups(df).orderBy("id").collect()]
 
 

@@ -126,7 +126,8 @@ def test_logits(spark):
 
 
 def test_batched_scoring(spark):
-    df = spark.createDataFrame([(1, "x" * 30), (2, None), (3, "é" * 60)], "id int, comment_text string")
+    rows = [(1, "x" * 30), (2, None), (3, "é" * 60)]
+    df = spark.createDataFrame(rows, "id int, comment_text string")
     scores = {r["id"]: r["score"] for r in score_texts(df, length_model(), batch_size=2).collect()}
     assert scores[1] == 0.5
     assert scores[2] == pytest.approx(1 / (1 + math.exp(3)))
