@@ -633,6 +633,12 @@ FROM prepared GROUP BY is_toxic""",
     "batch_bias_metrics": _stub_bias("length", LENGTH_LOGIT),
     "zero_shot_scores": _prepared(f"id, round({_sigmoid(YES_NO_LOGIT)}, 6) AS score"),
     "zero_shot_bias_metrics": _stub_bias("yes-no", YES_NO_LOGIT),
+    "csv_comments_roundtrip": _prepared("*"),
+    "ood_source_fallback": _with(
+        TOXIGEN,
+        select="""SELECT id, CASE WHEN toxicity_human > 3 THEN 1 ELSE 0 END AS label,
+  md5(generation) AS digest FROM toxigen""",
+    ),
     "saved_splits_roundtrip": _split(
         f"""SELECT p.* EXCLUDE (comment_text),
   CASE WHEN position < {TRAIN_ROWS} THEN 'train' ELSE 'eval' END AS split

@@ -23,6 +23,7 @@ from paritas.operators import classifier, metrics, ood, ordering, prepare, repor
 from paritas.operators.scoring import score_texts, score_zero_shot
 from paritas.plans.candidates import candidate_metrics
 from paritas.session import scratch_path, written
+from paritas.sources import comments as comment_source
 from paritas.sources import models as model_source
 from paritas.sources import results as result_source
 from paritas.sources import splits as split_source
@@ -653,6 +654,31 @@ def zero_shot_bias_metrics(spark, sf_dir):
 # --- written and read back ---
 
 
+@query
+def csv_comments_roundtrip(spark, sf_dir):
+    """The comment table as gzipped CSV, read by name and prepared."""
+    root = scratch_path(spark, "comments")
+    (
+        fx.jigsaw(spark, sf_dir)
+        .write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("compression", "gzip")
+        .csv(comment_source.comment_file(root, "train"))
+    )
+    return comment_source.load_comments(spark, root)
+
+
+@query
+def ood_source_fallback(spark, sf_dir):
+    """The first source is missing, so the second one is taken, unfiltered."""
+    root = scratch_path(spark, "ood")
+    fx.toxigen(spark, sf_dir).write.parquet(f"{root}/second")
+    table = comment_source.read_ood(spark, [f"{root}/first", f"{root}/second"])
+    return table.select("id", "label", F.md5("text").alias("digest"))
+
+
 @query
 def saved_splits_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "splits")

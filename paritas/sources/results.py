@@ -37,8 +37,15 @@ def metric_file(model: ModelSpec) -> str:
 
 
 def _csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header; null is an empty field."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; null is an empty field, and texts keep their blanks."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def public_metrics(metrics: DataFrame, with_model: bool = False) -> DataFrame:
@@ -58,12 +65,13 @@ def write_metrics(metrics: DataFrame, folder: str, models: Sequence[ModelSpec])
     """One CSV per model; ``metrics`` has few rows and may hold several models."""
     for model in models:
         of_model = metrics.where(F.col("model") == model.key)
-        _csv(public_metrics(of_model), f"{folder}/{metric_file(model)}")
+        _csv(public_metrics(of_model).coalesce(1), f"{folder}/{metric_file(model)}")
 
 
 def write_ood_metrics(metrics: DataFrame, folder: str) -> None:
     """All models in one CSV, the model first."""
-    _csv(public_metrics(metrics, with_model=True), f"{folder}/ood_toxigen_metrics.csv")
+    public = public_metrics(metrics, with_model=True)
+    _csv(public.coalesce(1), f"{folder}/ood_toxigen_metrics.csv")
 
 
 def read_metric_files(spark: SparkSession, folder: str, models: Sequence[str]) -> DataFrame:
@@ -146,13 +154,8 @@ def write_prediction_csv(
 ) -> None:
     """Text and score of every row as CSV files, written in parallel."""
     text = "text" if out_of_domain else "comment_text"
-    (
-        scored.select(F.col(text), F.col("score").alias("toxicity_score"))
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(f"{folder}/{prediction_file(model, out_of_domain)}")
-    )
+    public = scored.select(text, F.col("score").alias("toxicity_score"))
+    _csv(public, f"{folder}/{prediction_file(model, out_of_domain)}")
 
 
 def write_report(report: DataFrame, folder: str) -> None:
@@ -161,14 +164,9 @@ def write_report(report: DataFrame, folder: str) -> None:
         F.col("total_examples").alias(METRIC_HEADERS["total_examples"]),
         *[F.col(f"`{c}`") for c in report.columns[3:]],
     )
-    _csv(public, f"{folder}/final_report.csv")
+    _csv(public.coalesce(1), f"{folder}/final_report.csv")
 
 
 def write_compiled_predictions(compiled: DataFrame, folder: str) -> None:
     """The row-level prediction table; as large as the data, so in many files."""
-    (
-        compiled.write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(f"{folder}/final_predictions.csv")
-    )
+    _csv(compiled, f"{folder}/final_predictions.csv")
