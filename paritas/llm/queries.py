@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import quality
+from paritas.llm import ngram_join, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +19,13 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op7_ngram_join": op7_ngram_join,
 }
 
 ORACLE: dict[str, str] = {}
