@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import ngram_join, quality
+from paritas.llm import ngram_join, quality, tiling
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,8 +23,15 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ).drop("print")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_string_tiling": op3_string_tiling,
     "op7_ngram_join": op7_ngram_join,
 }
 
