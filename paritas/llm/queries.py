@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import ngram_join, quality, tiling
+from paritas.llm import ngram_join, pseudonyms, quality, tiling
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs)
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -32,6 +37,7 @@ def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_string_tiling": op3_string_tiling,
+    "op5_pseudonyms": op5_pseudonyms,
     "op7_ngram_join": op7_ngram_join,
 }
 
