@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import ngram_join, pseudonyms, quality, tiling
+from paritas.llm import ngram_join, pieces, pseudonyms, quality, tiling
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("print")
 
 
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), pieces.load())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_string_tiling": op3_string_tiling,
     "op5_pseudonyms": op5_pseudonyms,
     "op7_ngram_join": op7_ngram_join,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLE: dict[str, str] = {}

@@ -37,7 +37,8 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: What a byte adds to a polynomial.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -51,6 +52,11 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base, and of its inverse."""
+    return _power("up", _BASE, n), _power("down", _INVERSE, n)
+
+
 @dataclass
 class Slice:
     """Consecutive rows of a batch: their bytes, and where each text starts and ends."""
@@ -120,9 +126,10 @@ def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         last = min(max(last, first + 1), len(starts))
         high = int(ends[first:last].max())
         prefix = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * _power("up", _BASE, high - low), out=prefix[1:])
+        up, down = powers(high - low + 1)
+        np.cumsum(BYTE_VALUES[data[low:high]] * up[:-1], out=prefix[1:])
         begin, end = starts[first:last] - low, ends[first:last] - low
-        hashes = (prefix[end] - prefix[begin]) * _power("down", _INVERSE, high - low + 1)[begin]
+        hashes = (prefix[end] - prefix[begin]) * down[begin]
         out[first:last] = mix(hashes + (end - begin).astype(np.uint64))
         first = last
     return out
