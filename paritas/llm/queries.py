@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import ngram_join, pieces, pseudonyms, quality, tiling
+from paritas.llm import langid, ngram_join, pieces, pseudonyms, quality, tiling
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(table(spark, folder, "documents"))
+
+
 def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(docs)
@@ -41,6 +45,7 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_string_tiling": op3_string_tiling,
+    "op4_language": op4_language,
     "op5_pseudonyms": op5_pseudonyms,
     "op7_ngram_join": op7_ngram_join,
     "op9_pieces": op9_pieces,
