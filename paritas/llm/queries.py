@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import langid, ngram_join, pieces, pseudonyms, quality, tiling
+from paritas.llm import langid, line_crf, ngram_join, pieces, pseudonyms, quality, tiling
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("print")
 
 
+def op8_line_labels(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_crf.line_verdicts(docs, line_crf.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load())
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_pseudonyms": op5_pseudonyms,
     "op7_ngram_join": op7_ngram_join,
+    "op8_line_labels": op8_line_labels,
     "op9_pieces": op9_pieces,
 }
 
