@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import langid, line_crf, ngram_join, pieces, pseudonyms, quality, tiling
+from paritas.llm import (
+    archives,
+    langid,
+    line_crf,
+    ngram_join,
+    pieces,
+    pseudonyms,
+    quality,
+    tiling,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +56,10 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.load())
 
 
+def op10_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archived(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_string_tiling": op3_string_tiling,
@@ -55,6 +68,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_line_labels": op8_line_labels,
     "op9_pieces": op9_pieces,
+    "op10_archives": op10_archives,
 }
 
-ORACLE: dict[str, str] = {}
+#: The rest learns, hashes or tiles in ways SQL can't; it is tested against brute force.
+ORACLE: dict[str, str] = {
+    "op10_archives": """
+        with p as (
+            select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as bytes
+            from pages
+        ), c as (
+            select html, max(page_id) as newest from p where bytes >= 1000 group by html
+        )
+        select p.page_id, p.bytes as payload_bytes, sha1(p.html) as payload_digest,
+            case when c.newest > p.page_id then 'revisit' else 'response' end as record_type,
+            case when c.newest > p.page_id then c.newest end as refers_to
+        from p left join c on p.html = c.html
+    """,
+}
