@@ -308,3 +308,15 @@ def round_trip(docs: DataFrame, words: Vocabulary) -> DataFrame:
         F.xxhash64("pieces").alias("pieces_print"),
         F.replace("text", F.lit("\u2581"), F.lit(" ")).eqNullSafe(F.col("again")).alias("round_trip"),
     )
+
+
+def verified(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """The documents and their ``pieces``; a text that decoding does not return is an
+    error, so what is written is known to be complete."""
+    columns = [*docs.columns, "pieces"]
+    spelt = with_text(with_pieces(docs.drop("pieces"), words), words, name="again")
+    same = F.replace("text", F.lit("▁"), F.lit(" ")).eqNullSafe(F.col("again"))
+    checked = F.when(same, F.col("pieces")).otherwise(
+        F.raise_error(F.concat(F.lit("pieces differ from text "), F.col("doc_id").cast("string")))
+    )
+    return spelt.withColumn("pieces", checked).select(*dict.fromkeys(columns))
