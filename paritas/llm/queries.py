@@ -10,6 +10,7 @@ from paritas.llm import (
     archives,
     langid,
     line_crf,
+    masked_lm,
     ngram_join,
     pieces,
     pseudonyms,
@@ -41,6 +42,11 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return masked_lm.log_likelihoods(docs, masked_lm.fit(docs))
+
+
 def op3_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -62,6 +68,7 @@ def op10_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_masked_lm": op2_masked_lm,
     "op3_string_tiling": op3_string_tiling,
     "op4_language": op4_language,
     "op5_pseudonyms": op5_pseudonyms,
