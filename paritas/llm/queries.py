@@ -15,6 +15,7 @@ from paritas.llm import (
     pieces,
     pseudonyms,
     quality,
+    quotes,
     tiling,
 )
 
@@ -38,6 +39,10 @@ def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymised(docs)
 
 
+def op6_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(quotes.quoting(table(spark, folder, "conversations")))
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_string_tiling": op3_string_tiling,
     "op4_language": op4_language,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_quotes": op6_quotes,
     "op7_ngram_join": op7_ngram_join,
     "op8_line_labels": op8_line_labels,
     "op9_pieces": op9_pieces,
@@ -80,6 +86,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The rest learns, hashes or tiles in ways SQL can't; it is tested against brute force.
 ORACLE: dict[str, str] = {
+    "op6_quotes": """
+        with m as (
+            select distinct conv_id, turn from conversations where trim(text, ' \n') <> ''
+        ), t as (
+            select c.conv_id, c.turn, c.role, c.text, p.turn as parent_turn
+            from conversations c
+            left join m p on p.conv_id = c.conv_id and p.turn = c.turn - 1
+        ), r as (
+            select *, max(case when parent_turn is null then turn end)
+                over (partition by conv_id order by turn) as root_turn
+            from t
+        )
+        select *, turn - root_turn as depth from r
+    """,
     "op10_archives": """
         with p as (
             select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as bytes
