@@ -21,6 +21,7 @@ each, extra columns ignored or kept as the function says.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +29,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paritas.llm import texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose equal words are encoded once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Substrings looked up at a time.
-LOOKUPS = 1 << 20
+LOOKUPS = 1 << 18
 #: How much worse than the worst piece a character without piece scores.
 UNKNOWN = 10.0
 #: A score below this is no log-probability but a rank.
@@ -250,26 +252,39 @@ def _plain(column: pa.Array) -> pa.Array:
     return pc.replace_substring(column, "\u2581", " ")
 
 
+def _with_columns(docs: DataFrame, schema: str, column: str, make: Callable) -> DataFrame:
+    """The table with further columns, made slice by slice from a text column, so that a
+    task holds a batch and the results of one slice."""
+    new = StructType.fromDDL(schema)
+    kept = [name for name in docs.columns if name not in new.names]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in texts.slices(_plain(batch[column]), SLICE_BYTES):
+                part = batch.slice(piece.first, piece.rows)
+                arrays = make(piece, part[column].is_null())
+                yield pa.record_batch(
+                    [*(part[name] for name in kept), *arrays], names=[*kept, *new.names]
+                )
+
+    rows = docs.select(*kept, *([column] if column not in kept else []))
+    return rows.mapInArrow(made, StructType([*docs.select(*kept).schema, *new]))
+
+
+def _lists(ids: np.ndarray, ranges: np.ndarray, null: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ranges, pa.int32()), pa.array(ids), mask=null)
+
+
 def with_pieces(
     docs: DataFrame, words: Vocabulary, column: str = "text", name: str = "pieces"
 ) -> DataFrame:
     """The table and ``name``, the ids of ``column``."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.arrow_udf("array<int>")
-    def encode(column: pa.Array) -> pa.Array:
-        parts = []
-        for piece in texts.slices(_plain(column), SLICE_BYTES):
-            ids, ranges = encoded(piece, shared.value)
-            null = column.slice(piece.first, piece.rows).is_null()
-            parts.append(
-                pa.ListArray.from_arrays(
-                    pa.array(ranges, pa.int32()), pa.array(ids), mask=null
-                )
-            )
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    def make(piece: texts.Slice, null: pa.Array) -> list[pa.Array]:
+        return [_lists(*encoded(piece, shared.value), null)]
 
-    return docs.withColumn(name, encode(column))
+    return _with_columns(docs, f"{name} array<int>", column, make)
 
 
 def with_text(
@@ -280,43 +295,76 @@ def with_text(
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
+        parts = []
         ranges = np.asarray(column.offsets, np.int64)
-        ids = np.asarray(column.values)[ranges[0] : ranges[-1]]
-        data, at = decoded(ids, ranges - ranges[0], shared.value)
-        mask = None if column.null_count == 0 else pa.py_buffer(_bits(column))
-        offsets = pa.py_buffer(at.astype(np.int32))
-        return pa.StringArray.from_buffers(
-            len(column), offsets, pa.py_buffer(data), mask, column.null_count
-        )
+        first = 0
+        while first < len(column):
+            last = int(np.searchsorted(ranges, ranges[first] + SLICE_BYTES, "right")) - 1
+            last = min(max(last, first + 1), len(column))
+            ids = np.asarray(column.values)[ranges[first] : ranges[last]]
+            own = ranges[first : last + 1] - ranges[first]
+            data, at = decoded(ids, own, shared.value)
+            valid = np.asarray(column.slice(first, last - first).is_valid())
+            parts.append(
+                pa.StringArray.from_buffers(
+                    last - first,
+                    pa.py_buffer(at.astype(np.int32)),
+                    pa.py_buffer(data),
+                    pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()),
+                    int((~valid).sum()),
+                )
+            )
+            first = last
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return docs.withColumn(name, decode(column))
 
 
-def _bits(column: pa.Array) -> bytes:
-    valid = np.asarray(column.is_valid())
-    return np.packbits(valid, bitorder="little").tobytes()
+def _checked(piece: texts.Slice, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a slice, each text's range, and whether decoding returns the text."""
+    ids, ranges = encoded(piece, words)
+    data, at = decoded(ids, ranges, words)
+    if np.array_equal(at, piece.offsets):
+        wrong = np.concatenate([[0], np.cumsum(data != piece.data)])
+        return ids, ranges, wrong[at[1:]] == wrong[at[:-1]]
+    spans = zip(at[:-1], at[1:], piece.offsets[:-1], piece.offsets[1:], strict=True)
+    same = [np.array_equal(data[a:b], piece.data[c:d]) for a, b, c, d in spans]
+    return ids, ranges, np.array(same, bool)
+
+
+def _prints(ids: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """A hash of each text's ids and their places."""
+    place = np.arange(len(ids)) - ranges[:-1][texts.owners(ranges)]
+    value = texts.mix(ids.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    return (sums[ranges[1:]] - sums[ranges[:-1]]).view(np.int64)
 
 
 def round_trip(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """(doc_id, n_pieces, n_bytes, pieces_print, round_trip) of every document: how many
     pieces and bytes, a hash of the ids, and whether decoding returns the text."""
-    spelt = with_text(with_pieces(docs.select("doc_id", "text"), words), words, name="again")
-    return spelt.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.xxhash64("pieces").alias("pieces_print"),
-        F.replace("text", F.lit("\u2581"), F.lit(" ")).eqNullSafe(F.col("again")).alias("round_trip"),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def make(piece: texts.Slice, null: pa.Array) -> list[pa.Array]:
+        ids, ranges, same = _checked(piece, shared.value)
+        counts = [np.diff(ranges), np.diff(piece.offsets), _prints(ids, ranges)]
+        return [*(pa.array(c, pa.int64()) for c in counts), pa.array(same)]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "n_pieces long, n_bytes long, pieces_print long, round_trip boolean"
+    return _with_columns(rows, schema, "text", make).drop("text")
 
 
 def verified(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """The documents and their ``pieces``; a text that decoding does not return is an
     error, so what is written is known to be complete."""
-    columns = [*docs.columns, "pieces"]
-    spelt = with_text(with_pieces(docs.drop("pieces"), words), words, name="again")
-    same = F.replace("text", F.lit("▁"), F.lit(" ")).eqNullSafe(F.col("again"))
-    checked = F.when(same, F.col("pieces")).otherwise(
-        F.raise_error(F.concat(F.lit("pieces differ from text "), F.col("doc_id").cast("string")))
-    )
-    return spelt.withColumn("pieces", checked).select(*dict.fromkeys(columns))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def make(piece: texts.Slice, null: pa.Array) -> list[pa.Array]:
+        ids, ranges, same = _checked(piece, shared.value)
+        if not same.all():
+            raise ValueError("pieces differ from their text")
+        return [_lists(ids, ranges, null)]
+
+    return _with_columns(docs, "pieces array<int>", "text", make)
