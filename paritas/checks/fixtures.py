@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paritas.catalogue import BASELINE, FINETUNED, IDENTITY_COLUMNS, RAW, ZERO_SHOT, ModelSpec
 from paritas.operators.ood import test_split
-from paritas.sources.tables import read_table, spread
+from paritas.sources.tables import read_table
 
 DATASET, OOD_DATASET = "Jigsaw", "ToxiGen"
 
@@ -42,8 +42,8 @@ def _documents_with_labels(
     spark: SparkSession, sf_dir: str, how: str, spread_texts: bool = False
 ) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    if spread_texts:
-        documents = spread(documents)
+    if spread_texts:  # by the key they are joined on, so that costly work has all cores
+        documents = documents.repartition("doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return documents.join(labels, "doc_id", how)
 

@@ -18,6 +18,7 @@ from paritas.checks.queries import (
 from paritas.functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERN
 from paritas.operators.classifier import VOCABULARY_SIZE
 from paritas.operators.report import OVERALL_NAME, SECTIONS, report_header
+from paritas.plans.candidates import PENALTIES, candidate_name
 
 QUOTE = "chr(39)"
 
@@ -388,7 +389,85 @@ WHERE {condition}"""
 KEPT = f"least({TRUNCATED}, total)"
 TRUNCATED_TRAIN = f"CAST(floor(CAST(0.9 AS DOUBLE) * {KEPT}) AS BIGINT)"
 
+INCOMPLETE = f"""scores AS (
+  SELECT dataset, model, score,
+    CASE WHEN model = '{fx.SCORED_MODELS[2]}' AND id % 10 = 3 THEN id - 1 ELSE id END AS id
+  FROM raw_scores WHERE NOT (model = '{fx.SCORED_MODELS[1]}' AND id % 10 = 3)),
+whole AS (
+  SELECT model FROM scores GROUP BY model
+  HAVING count(*) = (SELECT count(*) FROM prepared)
+    AND count(DISTINCT id) = (SELECT count(*) FROM prepared))"""
+
+
+def _if_whole(name: str) -> str:
+    return f"CASE WHEN model IN (SELECT model FROM whole) THEN {name} END AS {name}"
+
+
+TRAIN_TEXTS = f"""train_rows AS (
+  SELECT p.* FROM shuffled s JOIN prepared p ON s.id = p.id WHERE position < {TRAIN_ROWS})"""
+EVAL_ROWS = f"""eval_rows AS (
+  SELECT p.* FROM shuffled s JOIN prepared p ON s.id = p.id WHERE position >= {TRAIN_ROWS})"""
+SHUFFLED_CTES = (JIGSAW, PREPARED, _shuffled("prepared", "shuffled"))
+
 ORACLE: dict[str, str] = {
+    "incomplete_predictions_metrics": _with(
+        JIGSAW,
+        PREPARED,
+        _scores("raw_scores", fx.DATASET),
+        INCOMPLETE,
+        MEMBERS,
+        SCORED_ROWS,
+        _measured("scored_rows"),
+        IDENTITIES,
+        _bias(fx.MODEL_KEYS),
+        select="SELECT dataset, model, ord, identity, total_examples, "
+        + ", ".join(_if_whole(name) for name in METRIC_COLUMNS)
+        + " FROM bias",
+    ),
+    "baseline_train_summary": _with(
+        *SHUFFLED_CTES,
+        TRAIN_TEXTS,
+        TOKENS.replace("FROM prepared)", "FROM train_rows)"),
+        select=f"""SELECT count(*) AS n_train, CAST(sum(is_toxic) AS BIGINT) AS n_positive,
+  (SELECT least({VOCABULARY_SIZE}, count(*)) FROM stats) AS vocabulary_size,
+  TRUE AS gradient_small FROM train_rows""",
+    ),
+    "baseline_scores": _with(
+        *SHUFFLED_CTES,
+        EVAL_ROWS,
+        select="SELECT id, is_toxic, TRUE AS as_recomputed FROM eval_rows",
+    ),
+    "baseline_bias_metrics": _with(
+        *SHUFFLED_CTES,
+        EVAL_ROWS,
+        MEMBERS.replace("FROM prepared", "FROM eval_rows"),
+        IDENTITIES,
+        select=f"""SELECT '{fx.DATASET}' AS dataset, 'Baseline' AS model,
+  CAST(i.ord AS INTEGER) AS ord, i.identity, count(m.id) AS total_examples,
+  TRUE AS auc_as_by_ranks
+FROM identities i LEFT JOIN members m ON m.identity = i.identity GROUP BY i.ord, i.identity""",
+    ),
+    "baseline_ood_scores": _with(
+        TOXIGEN,
+        select="""SELECT id, CASE WHEN toxicity_human > 3 THEN 1 ELSE 0 END AS label,
+  TRUE AS as_recomputed FROM toxigen WHERE split = 'test'""",
+    ),
+    "baseline_ood_bias_metrics": _with(
+        TOXIGEN,
+        _ood_table("split = 'test'"),
+        OOD_GROUPS,
+        select="""SELECT 'Baseline' AS model, c."group" AS identity, c.first_row, c.first_place,
+  count(*) AS total_examples, TRUE AS auc_as_by_ranks
+FROM catalogue c JOIN ood_members m ON m."group" = c."group"
+GROUP BY c."group", c.first_row, c.first_place""",
+    ),
+    "candidate_selection": _with(
+        JIGSAW,
+        PREPARED,
+        select=f"""SELECT m AS model, (SELECT count(*) - CAST(floor(CAST(0.9 AS DOUBLE) * count(*))
+  AS BIGINT) FROM prepared) AS n_rows, TRUE AS chosen_is_best
+FROM (VALUES {", ".join(f"('{candidate_name(p)}')" for p in PENALTIES)}) v(m)""",
+    ),
     "prep_binarize_target": _prepared("id, target, is_toxic"),
     "prep_clean_text": _prepared("id, comment_text"),
     "prep_identity_fill": _prepared("id, " + ", ".join(IDENTITY_COLUMNS)),
@@ -447,7 +526,7 @@ WHERE position < {SAMPLE}""",
         _shuffled("prepared", "other", OTHER_SEED),
         select=f"""SELECT count(*) AS leaked FROM shuffled s JOIN other o ON s.id = o.id
 WHERE s.position >= {TRAIN_ROWS.replace("total", "s.total")}
-  AND o.position < {TRUNCATED_TRAIN.replace("total", "o.total")}""",
+  AND o.position < {TRAIN_ROWS.replace("total", "o.total")}""",
     ),
     "confusion_counts": _with(
         *MEASURED_CTES,
@@ -539,6 +618,25 @@ FROM toxigen t LEFT JOIN ood_members m ON m.id = t.id GROUP BY t.id""",
     ),
     "ood_bias_metrics": _ood_bias("split = 'test'"),
     "ood_bias_metrics_unfiltered": _ood_bias(),
+    "ood_bias_metrics_without_id": "SELECT * EXCLUDE (first_row, first_place) FROM ("
+    + _ood_bias("split = 'test'")
+    + ")",
+    "metric_files_without_totals": _with(
+        *BIAS_CTES,
+        select="""SELECT model, CAST(ord AS BIGINT) AS ord, identity,
+  CAST(NULL AS BIGINT) AS total_examples, """
+        + ", ".join(METRIC_COLUMNS)
+        + " FROM bias",
+    ),
+    "report_preview": _with(
+        *BIAS_CTES,
+        select=f"""SELECT * FROM bias WHERE model = '{fx.MODEL_KEYS[0]}' ORDER BY ord LIMIT 10""",
+    ),
+    "report_file_roundtrip": _with(
+        *BIAS_CTES,
+        select=f"""SELECT identity, total_examples, overall_auc AS auc FROM bias
+WHERE model = '{fx.MODEL_KEYS[0]}'""",
+    ),
     "ood_no_groups": _ood_bias(group="'none, Unknown'"),
     "final_report": _report(
         METRIC_COLUMNS,
@@ -642,9 +740,7 @@ FROM prepared GROUP BY is_toxic""",
     "saved_splits_roundtrip": _split(
         f"""SELECT p.* EXCLUDE (comment_text),
   CASE WHEN position < {TRAIN_ROWS} THEN 'train' ELSE 'eval' END AS split
-FROM shuffled s JOIN prepared p ON s.id = p.id
-WHERE position < least({TRAIN_N}, {TRAIN_ROWS})
-  OR (position >= {TRAIN_ROWS} AND position < {TRAIN_ROWS} + {EVAL_N})"""
+FROM shuffled s JOIN prepared p ON s.id = p.id"""
     ),
     "predictions_roundtrip": _with(
         *PREDICTION_CTES, select="SELECT id, score, dataset, model FROM all_predictions"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paritas.catalogue import IDENTITY_COLUMNS
+from paritas.catalogue import IDENTITY_COLUMNS, METRIC_HEADERS
 from paritas.checks import fixtures as fx
 from paritas.checks.stubs import length_model, yes_no_model
 from paritas.functions.scores import (
@@ -169,7 +169,7 @@ def ood_sample(spark, sf_dir):
 @query
 def split_leakage(spark, sf_dir):
     prepared = _prepared(spark, sf_dir).select("id")
-    other = split.truncate_then_split(prepared, TRUNCATED, seed=OTHER_SEED)
+    other = split.truncate_then_split(prepared, -1, seed=OTHER_SEED)
     train = other.where(F.col("split") == "train")
     evaluation = split.split_train_eval(prepared).where(F.col("split") == "eval")
     return split.split_leakage(train, evaluation)
@@ -208,20 +208,29 @@ def overall_fpr(spark, sf_dir):
     return _whole(rates).select("dataset", "model", "fpr")
 
 
-def _group_auc(spark, sf_dir, scored):
-    return metrics.group_auc(scored, scores=fx.scores(spark, sf_dir))
+def _located(spark, sf_dir):
+    """Scores and scored rows with a model's number in place of its names."""
+    keys = ["dataset", "model"]
+    return metrics.located(fx.scores(spark, sf_dir), REGISTERED, keys)
+
+
+def _group_auc(spark, sf_dir, whole_only=False):
+    scores = _located(spark, sf_dir)
+    scored = metrics.attach_predictions(_prepared(spark, sf_dir), scores)
+    if whole_only:
+        scored = _whole_only(scored)
+    auc = metrics.group_auc(scored, ["unit"], scores=scores)
+    return metrics.named_units(auc, REGISTERED, ["dataset", "model"])
 
 
 @query
 def overall_auc(spark, sf_dir):
-    auc = _group_auc(spark, sf_dir, _whole_only(_scored(spark, sf_dir)))
-    return _whole(auc).select("dataset", "model", "auc")
+    return _whole(_group_auc(spark, sf_dir, True)).select("dataset", "model", "auc")
 
 
 @query
 def subgroup_auc(spark, sf_dir):
-    auc = _group_auc(spark, sf_dir, _scored(spark, sf_dir))
-    return _named(_parts(auc)).select("dataset", "model", "identity", "auc")
+    return _named(_parts(_group_auc(spark, sf_dir))).select("dataset", "model", "identity", "auc")
 
 
 @query
@@ -237,9 +246,10 @@ def subgroup_sizes(spark, sf_dir):
 
 @query
 def auc_prefix_counts(spark, sf_dir):
-    return _named(
-        metrics.score_prefix_counts(_scored(spark, sf_dir), scores=fx.scores(spark, sf_dir))
-    )
+    scores = _located(spark, sf_dir)
+    scored = metrics.attach_predictions(_prepared(spark, sf_dir), scores)
+    counts = metrics.score_prefix_counts(scored, ["unit"], scores=scores)
+    return _named(metrics.named_units(counts, REGISTERED, ["dataset", "model"]))
 
 
 @query
@@ -249,6 +259,22 @@ def bias_metrics(spark, sf_dir):
     )
 
 
+def _incomplete(spark, sf_dir):
+    """The second model lacks rows; the third has two predictions for some and none for
+    as many others."""
+    rows = fx.scores(spark, sf_dir)
+    second, third = (F.col("model") == name for name in fx.SCORED_MODELS[1:])
+    moved = F.when(third & (F.col("id") % 10 == 3), F.col("id") - 1).otherwise(F.col("id"))
+    return rows.where(~(second & (F.col("id") % 10 == 3))).withColumn("id", moved)
+
+
+@query
+def incomplete_predictions_metrics(spark, sf_dir):
+    return metrics.evaluate_predictions(
+        _prepared(spark, sf_dir), _incomplete(spark, sf_dir), REGISTERED, IDENTITIES
+    )
+
+
 @query
 def empty_identity_rows(spark, sf_dir):
     return bias_metrics(spark, sf_dir).where(F.col("total_examples") == 0)
@@ -354,6 +380,36 @@ def ood_bias_metrics_unfiltered(spark, sf_dir):
     return _ood_metrics(spark, sf_dir, _grouped(spark, sf_dir))
 
 
+@query
+def ood_bias_metrics_without_id(spark, sf_dir):
+    """The table loses its id; labels, predictions and groups meet by the made one."""
+    root = scratch_path(spark, "ood")
+    table = fx.toxigen(spark, sf_dir)
+    scores = fx.scores(spark, sf_dir, fx.OOD_DATASET)
+    wide = scores.groupBy("id").agg(
+        *[
+            F.max(F.when(F.col("model") == name, F.col("score"))).alias(f"s{i}")
+            for i, name in enumerate(fx.SCORED_MODELS)
+        ]
+    )
+    table.join(wide, "id").drop("id").write.parquet(root)
+    rows = ood.with_groups(comment_source.read_ood(spark, [root]))
+    predictions = rows.select(
+        "id",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("model"), F.col(f"s{i}").alias("score"))
+                    for i, name in enumerate(fx.SCORED_MODELS)
+                ]
+            )
+        ),
+    )
+    again = ood.with_groups(comment_source.read_ood(spark, [root]))
+    measured = ood.ood_bias_metrics(again, predictions, fx.SCORED_MODELS)
+    return measured.drop("first_row", "first_place")
+
+
 @query
 def ood_no_groups(spark, sf_dir):
     """No value of the group field names a group: one placeholder per model."""
@@ -533,7 +589,7 @@ def tfidf_idf(spark, sf_dir):
 def term_counts(spark, sf_dir):
     kept = terms.vocabulary(_statistics(spark, sf_dir), classifier.VOCABULARY_SIZE)
     tokens = terms.document_tokens(_texts(spark, sf_dir))
-    return terms.term_counts(tokens, kept, classifier.VOCABULARY_SIZE)
+    return terms.term_counts(tokens, kept)
 
 
 @query
@@ -567,30 +623,116 @@ def _baseline(spark, sf_dir):
     return split_source.read_splits(spark, data), model_source.load_pipeline(spark, model)
 
 
+# The largest entry the gradient of the summed loss may have at the solution, as a share
+# of the rows it is summed over. The fit ends when the loss changes by a millionth, and
+# near its least value a loss changes with the square of the gradient.
+GRADIENT_SHARE = 1e-3
+
+
+def _coefficients(spark, model):
+    """(term, coefficient) of a pipeline's logistic regression; as many as the vocabulary."""
+    values = model.stages[-1].coefficients.toArray().tolist()
+    rows = list(zip(model.stages[2].vocabulary, values, strict=True))
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+def _largest_gradient(train, model, counts):
+    """The largest entry of the gradient of the weighted loss and its penalty, summed up
+    from the vectors of all training rows."""
+    weight = F.when(
+        F.col("is_toxic") == 1, F.lit(counts.total / (2.0 * counts.positive))
+    ).otherwise(F.lit(counts.total / (2.0 * counts.negative)))
+    residuals = classifier.score_baseline(model, train).select(
+        "id", (weight * (F.col("score") - F.col("is_toxic"))).alias("residual")
+    )
+    entries = classifier.tfidf_weights(train, model.stages[:-1]).join(residuals, "id")
+    by_term = entries.groupBy("term").agg(
+        F.sum(F.col("weight") * F.col("residual")).alias("loss")
+    )
+    coefficients = _coefficients(train.sparkSession, model)
+    gradient = coefficients.join(by_term, "term", "left").select(
+        F.abs(F.coalesce("loss", F.lit(0.0)) + F.col("coefficient")).alias("entry")
+    )
+    return gradient.unionByName(
+        residuals.agg(F.abs(F.sum("residual")).alias("entry"))
+    ).agg(F.max("entry").alias("largest"))
+
+
 @query
 def baseline_train_summary(spark, sf_dir):
     data, model = _baseline(spark, sf_dir)
-    logistic, vocabulary = model.stages[-1], model.stages[2].vocabulary
+    counts = classifier.class_counts(data.train)
+    largest = _largest_gradient(data.train, model, counts).scalar()
     return data.train.agg(
         F.count(F.lit(1)).alias("n_train"),
         F.sum("is_toxic").alias("n_positive"),
-        F.lit(len(vocabulary)).alias("vocabulary_size"),
-        F.lit(logistic.numFeatures).alias("n_features"),
-        F.lit(float(logistic.intercept)).alias("intercept"),
+        F.lit(len(model.stages[2].vocabulary)).cast("bigint").alias("vocabulary_size"),
+        (largest <= F.lit(GRADIENT_SHARE * counts.total)).alias("gradient_small"),
+    )
+
+
+def _recomputed(table, scored, model, text):
+    """``scored`` with ``as_recomputed``: whether the score is what the coefficients give
+    for the weights of the text's terms."""
+    texts = table.select("id", F.coalesce(F.col(text), F.lit("")).alias("comment_text"))
+    weights = classifier.tfidf_weights(texts, model.stages[:-1])
+    sums = (
+        weights.join(_coefficients(table.sparkSession, model), "term")
+        .groupBy("id")
+        .agg(F.sum(F.col("weight") * F.col("coefficient")).alias("sum"))
+    )
+    again = sigmoid(F.coalesce("sum", F.lit(0.0)) + F.lit(float(model.stages[-1].intercept)))
+    return scored.join(sums, "id", "left").withColumn(
+        "as_recomputed", F.abs(F.col("score") - again) < 1e-9
     )
 
 
 @query
 def baseline_scores(spark, sf_dir):
     data, model = _baseline(spark, sf_dir)
-    return classifier.score_baseline(model, data.evaluation).select("id", "is_toxic", "score")
+    scored = classifier.score_baseline(model, data.evaluation).select("id", "is_toxic", "score")
+    return _recomputed(data.evaluation, scored, model, "comment_text").select(
+        "id", "is_toxic", "as_recomputed"
+    )
+
+
+def _auc_by_ranks(rows, *keys):
+    """(keys, by_ranks): AUC from average ranks, for (keys, score, label) rows."""
+    in_order = Window.partitionBy(*keys).orderBy("score")
+    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, "score"))
+    rank = F.rank().over(in_order) + (peers - 1) / 2
+    sums = rows.withColumn("rank", rank).groupBy(*keys).agg(
+        F.sum("label").cast("double").alias("p"),
+        F.sum(1 - F.col("label")).cast("double").alias("q"),
+        F.sum(F.when(F.col("label") == 1, F.col("rank"))).alias("ranks"),
+    )
+    area = (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
+    defined = (F.col("p") > 0) & (F.col("q") > 0)
+    return sums.select(*keys, F.when(defined, area).alias("by_ranks"))
+
+
+def _auc_checked(measured, by_ranks, identity):
+    """Metrics with ``auc_as_by_ranks``: whether both AUC are the same, or undefined."""
+    again = by_ranks.withColumnRenamed(identity, "_identity")
+    same = F.coalesce(
+        F.abs(F.col("subgroup_auc") - F.col("by_ranks")) < 1e-12,
+        F.col("subgroup_auc").isNull() & F.col("by_ranks").isNull(),
+    )
+    joined = measured.join(again, measured["identity"] == again["_identity"], "left")
+    return joined.withColumn("auc_as_by_ranks", same)
 
 
 @query
 def baseline_bias_metrics(spark, sf_dir):
     data, model = _baseline(spark, sf_dir)
     scored = classifier.score_baseline(model, data.evaluation)
-    return _measured(scored, data.identities, "Baseline")
+    scored = written(scored.drop("comment_text"), "baseline-scores")
+    members = prepare.subgroup_members(scored, data.identities)
+    rows = scored.select("id", "score", F.col("is_toxic").alias("label")).join(members, "id")
+    measured = _measured(scored, data.identities, "Baseline")
+    return _auc_checked(measured, _auc_by_ranks(rows, "identity"), "identity").select(
+        "dataset", "model", "ord", "identity", "total_examples", "auc_as_by_ranks"
+    )
 
 
 def _measured(scored: DataFrame, identities: list[str], model: str) -> DataFrame:
@@ -605,26 +747,45 @@ def _measured(scored: DataFrame, identities: list[str], model: str) -> DataFrame
     return metrics.bias_metrics(written(narrow, "scores"), [(fx.DATASET, model)], identities)
 
 
-@query
-def baseline_ood_scores(spark, sf_dir):
+def _baseline_ood(spark, sf_dir):
     _, model = _baseline(spark, sf_dir)
     table = ood.with_text(ood.with_label(ood.test_split(fx.toxigen(spark, sf_dir))))
-    return classifier.score_baseline(model, table, "text").select("id", "label", "score")
+    scored = classifier.score_baseline(model, table, "text").select("id", "label", "score")
+    return table, scored, model
+
+
+@query
+def baseline_ood_scores(spark, sf_dir):
+    table, scored, model = _baseline_ood(spark, sf_dir)
+    return _recomputed(table, scored, model, "text").select("id", "label", "as_recomputed")
 
 
 @query
 def baseline_ood_bias_metrics(spark, sf_dir):
     labelled = _grouped(spark, sf_dir, test_only=True)
-    scored = baseline_ood_scores(spark, sf_dir).select(
-        F.lit("Baseline").alias("model"), "id", "score"
+    scored = written(_baseline_ood(spark, sf_dir)[1], "baseline-scores")
+    rows = scored.select("id", "score", "label").join(ood.group_members(labelled), "id")
+    measured = ood.ood_bias_metrics(
+        labelled, scored.select(F.lit("Baseline").alias("model"), "id", "score"), ["Baseline"]
+    )
+    return _auc_checked(measured, _auc_by_ranks(rows, "group"), "group").select(
+        "model", "identity", "first_row", "first_place", "total_examples", "auc_as_by_ranks"
     )
-    return ood.ood_bias_metrics(labelled, written(scored, "scores"), ["Baseline"])
 
 
 @query
 def candidate_selection(spark, sf_dir):
-    measured, _ = candidate_metrics(_prepared(spark, sf_dir, True), IDENTITIES)
-    return metrics.best_run(measured.where(F.col("ord") == 0))
+    """Validation rows of every candidate, and whether the chosen one has the best AUC."""
+    prepared = _prepared(spark, sf_dir, True)
+    measured, scored = candidate_metrics(prepared, IDENTITIES)[:2]
+    whole = written(measured.where(F.col("ord") == 0), "candidates").select("model", "overall_auc")
+    chosen = metrics.best_run(whole).select(F.col("run"), F.col("auc"))
+    best = whole.agg(F.max("overall_auc").alias("best"))
+    rows = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
+    fits = best.join(chosen, F.col("auc") == F.col("best")).select(
+        F.col("run").isNotNull().alias("chosen_is_best")
+    )
+    return rows.select("model", "n_rows", fits.scalar().alias("chosen_is_best"))
 
 
 @query
@@ -682,7 +843,7 @@ def ood_source_fallback(spark, sf_dir):
 @query
 def saved_splits_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "splits")
-    slices = split.train_eval_slices(_prepared(spark, sf_dir), TRAIN_N, EVAL_N)
+    slices = split.train_eval_slices(_prepared(spark, sf_dir), -1, -1)
     split_source.write_splits(slices, path)
     data = split_source.read_splits(spark, path)
     tagged = [
@@ -706,3 +867,35 @@ def metric_files_roundtrip(spark, sf_dir):
     result_source.write_metrics(measured, folder, fx.REGISTRY)
     names = [model.name for model in fx.REGISTRY]
     return result_source.read_metric_files(spark, folder, names)
+
+
+@query
+def metric_files_without_totals(spark, sf_dir):
+    """Metric CSVs that lack the column of sizes, their columns in another order."""
+    folder = scratch_path(spark, "results")
+    measured = written(bias_metrics(spark, sf_dir), "metrics")
+    for model in fx.REGISTRY:
+        public = result_source.public_metrics(measured.where(F.col("model") == model.key))
+        names = [c for c in reversed(public.columns) if c != METRIC_HEADERS["total_examples"]]
+        table = public.select(*[F.col(f"`{c}`") for c in names]).coalesce(1)
+        table.write.option("header", True).csv(f"{folder}/{result_source.metric_file(model)}")
+    return result_source.read_metric_files(spark, folder, [m.name for m in fx.REGISTRY])
+
+
+@query
+def report_preview(spark, sf_dir):
+    return report.preview(bias_metrics(spark, sf_dir).where(F.col("model") == fx.MODEL_KEYS[0]))
+
+
+@query
+def report_file_roundtrip(spark, sf_dir):
+    """The written report, read back by its public headers."""
+    folder = scratch_path(spark, "report")
+    result_source.write_report(written(_report(spark, sf_dir), "report"), folder)
+    saved = spark.read.option("header", True).csv(f"{folder}/final_report.csv")
+    auc = report.report_header(fx.MODEL_KEYS[0], "overall_auc")
+    return saved.select(
+        F.col(METRIC_HEADERS["identity"]).alias("identity"),
+        F.col(f"`{METRIC_HEADERS['total_examples']}`").cast("bigint").alias("total_examples"),
+        F.col(f"`{auc}`").cast("double").alias("auc"),
+    )

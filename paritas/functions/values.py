@@ -46,3 +46,12 @@ def checked_score(score: Column) -> Column:
         score.isNull() | F.isnan(score),
         F.raise_error(F.lit("prediction score is null or NaN")).cast("double"),
     ).otherwise(score)
+
+
+def checked_label(label: Column) -> Column:
+    """The label as 0 or 1. Anything else fails the query: counted as it is, it would
+    silently change every metric."""
+    value = label.cast("double")
+    return F.when(value.isin(0.0, 1.0), value.cast("long")).otherwise(
+        F.raise_error(F.lit("label is neither 0 nor 1")).cast("long")
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
@@ -102,20 +101,13 @@ def tfidf_weights(df: DataFrame, stages: list, id_col: str = "id") -> DataFrame:
     )
 
 
-# Training sets up to this size are gathered into few partitions before the passes.
-GATHERED_ROWS = 1_000_000
+def _gathered(vectors: DataFrame) -> DataFrame:
+    """Vectors over all cores, one partition each.
 
-
-def _gathered(vectors: DataFrame, rows: int) -> DataFrame:
-    """Vectors in as many partitions as their number deserves.
-
-    Every pass visits all partitions, so a sample of a large table must not keep that
-    table's. A large training set stays where it is: its vectors are not shuffled.
+    Every pass visits all partitions and one of its jobs is short, so there are no more
+    of them than run at once; vectors are small against the texts they come from.
     """
-    if rows > GATHERED_ROWS:
-        return vectors
-    parallelism = vectors.sparkSession.sparkContext.defaultParallelism
-    return vectors.repartition(max(1, min(parallelism, math.ceil(rows / 5_000))))
+    return vectors.repartition(vectors.sparkSession.sparkContext.defaultParallelism)
 
 
 def weighted_features(
@@ -130,7 +122,7 @@ def weighted_features(
         .transform(df)
         .select("features", F.col(label).cast("double").alias("label"), weight.alias("weight"))
     )
-    return _gathered(vectors, counts.total).persist(StorageLevel.MEMORY_AND_DISK)
+    return _gathered(vectors).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_logistic(

@@ -6,8 +6,8 @@ All models, the whole table and every group come out of one pass:
    for each group it belongs to;
 2. rows of equal (model, group, score) collapse into counts of positives and
    negatives, partially before the shuffle, so ties of any size cost one row;
-3. scores are cut into ranges holding about equally many distinct scores, whatever
-   their distribution, and ranked inside (model, group, range). The group of all
+3. scores are cut into ranges holding about equally many rows, whatever their
+   distribution and however they are stored, and ranked inside (model, group, range). The group of all
    rows, and scores crowded into a corner, are thereby spread over the cluster;
 4. a range adds ``inner + 2 * positives * negatives_in_lower_ranges`` to twice the
    number of correctly ordered pairs, so only the small table of range totals is
@@ -27,9 +27,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paritas.catalogue import METRIC_COLUMNS, present_identities
-from paritas.functions.values import checked_score
+from paritas.functions.values import checked_label, checked_score
 from paritas.operators.prepare import active_identities, text_array
-from paritas.session import rank_ranges
+from paritas.session import rank_ranges, written
 
 GROUP = "grp"
 
@@ -68,7 +68,7 @@ def group_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys,
         F.explode(F.concat(whole, F.col("groups"))).alias(GROUP),
         checked_score(F.col("score")).alias("score"),
-        F.col("is_toxic").cast("long").alias("label"),
+        checked_label(F.col("is_toxic")).alias("label"),
     )
 
 
@@ -90,28 +90,29 @@ def score_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-# Sketches are merged in this many tasks before the last one merges their results.
-SKETCH_GROUPS = 1024
-
-
-def _cut_points(scores: DataFrame, n: int) -> Column:
+def _cut_points(scores: DataFrame, n: int, sketch_groups: int = 1024) -> Column:
     """The n - 1 scores that cut the table into about equal parts, as one array.
 
-    A quantile sketch leaves every task that reads a score. There may be very many
-    of them, so they are merged in groups first, and the quantiles of the groups
-    give the quantiles of the whole: a single task only ever sees those.
+    Every task that reads scores leaves a mergeable sketch, which knows how many scores
+    it stands for, so tasks count by their rows. There may be very many of them: they are
+    merged in ``sketch_groups`` groups first, and a single task merges those.
     """
-    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    quantiles = F.expr(f"percentile_approx(score, array({shares}), {max(1_000, 4 * n)})")
-    grouped = (
+    accuracy = min(65_535, max(1_000, 16 * n))
+    sketches = (
         scores.select(
             F.col("score").cast("double").alias("score"),
-            (F.spark_partition_id() % SKETCH_GROUPS).alias("part"),
+            (F.spark_partition_id() % sketch_groups).alias("part"),
         )
         .groupBy("part")
-        .agg(quantiles.alias("cuts"))
+        .agg(F.kll_sketch_agg_double("score", accuracy).alias("sketch"))
     )
-    return grouped.select(F.explode("cuts").alias("score")).agg(quantiles).scalar()
+    merged = sketches.agg(F.kll_merge_agg_double("sketch", accuracy).alias("sketch"))
+    shares = F.array(*(F.lit(i / n) for i in range(1, n)))
+    cuts = F.when(
+        F.kll_sketch_get_n_double("sketch") > 0,
+        F.kll_sketch_get_quantile_double("sketch", shares),
+    )
+    return merged.select(cuts.alias("cuts")).scalar()
 
 
 def with_score_range(
@@ -268,11 +269,10 @@ def score_prefix_counts(
     cell = [*keys, GROUP]
     counts = score_counts(group_rows(scored, keys), keys)
     counts = with_score_range(counts, scored if scores is None else scores, ranges)
+    counts = written(counts, "score-counts")
     local = counts.withColumn("inside", _negatives_below([*cell, "range"], "score", "neg"))
-    # The filter drops nothing that counts; it keeps this branch on the same shuffle.
-    totals = counts.where(F.col("pos") + F.col("neg") > 0).groupBy(*cell, "range")
-    offsets = totals.agg(F.sum("neg").alias("range_neg"))
-    offsets = offsets.select(
+    totals = counts.groupBy(*cell, "range").agg(F.sum("neg").alias("range_neg"))
+    offsets = totals.select(
         *[F.col(c).alias(f"_{c}") for c in (*cell, "range")],
         _negatives_below(cell, "range", "range_neg").alias("before"),
     )
@@ -292,7 +292,8 @@ def metrics_per_group(
     scores: DataFrame | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """The metrics of every (keys, grp) in ``groups``; null grp is the whole table.
+    """The subgroup metrics of every (keys, grp) in ``groups``; null grp is the whole
+    table.
 
     ``groups`` lists what has to be reported even when nothing was scored.
     ``scores`` is the table to take score quantiles from when that is cheaper than
@@ -311,9 +312,31 @@ def metrics_per_group(
         fnr_column().alias("subgroup_fnr"),
         fpr_column().alias("subgroup_fpr"),
     )
-    # One row per group and model here, so the window is over a small table.
+    return metrics
+
+
+def beside_whole(metrics: DataFrame, keys: Sequence[str], whole: DataFrame) -> DataFrame:
+    """Each group's metrics next to those of the whole table, ``whole``, which has one
+    row per model."""
+    overall = [F.col(f"_{name}").alias(f"overall_{name}") for name in ("auc", "fnr", "fpr")]
+    small = whole.select(
+        *keys,
+        F.col("total_examples").alias("whole_examples"),
+        *[F.col(f"subgroup_{name}").alias(f"_{name}") for name in ("auc", "fnr", "fpr")],
+    )
+    return (
+        metrics.where(F.col(GROUP).isNotNull())
+        .join(F.broadcast(small), list(keys), "left")
+        .select(
+            *keys, GROUP, "total_examples", "whole_examples", *overall, *METRIC_COLUMNS[3:]
+        )
+    )
+
+
+def _beside_whole_of_few(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`beside_whole` where the groups of a model are a fixed list."""
     per_model = W.partitionBy(*keys)
-    whole = F.when(F.col(GROUP).isNull(), F.struct(*METRIC_COLUMNS[3:]))
+    whole = F.when(F.col(GROUP).isNull(), F.struct("total_examples", *METRIC_COLUMNS[3:]))
     return (
         metrics.withColumn("whole", F.max(whole).over(per_model))
         .where(F.col(GROUP).isNotNull())
@@ -321,6 +344,7 @@ def metrics_per_group(
             *keys,
             GROUP,
             "total_examples",
+            F.col("whole.total_examples").alias("whole_examples"),
             *[
                 F.col(f"whole.subgroup_{name}").alias(f"overall_{name}")
                 for name in ("auc", "fnr", "fpr")
@@ -344,22 +368,46 @@ def located(df: DataFrame, models: Sequence[tuple], keys: Sequence[str]) -> Data
     return df.withColumn("unit", unit).where(F.col("unit").isNotNull()).drop(*keys)
 
 
-def metrics_of_units(
-    scored: DataFrame,
-    groups: DataFrame,
-    models: Sequence[tuple],
-    keys: Sequence[str],
-    threshold: float = 0.5,
-    scores: DataFrame | None = None,
-    ranges: int | None = None,
+def named_units(
+    metrics: DataFrame, models: Sequence[tuple], keys: Sequence[str]
 ) -> DataFrame:
-    """:func:`metrics_per_group` of rows and groups that are :func:`located`."""
-    metrics = metrics_per_group(scored, groups, ["unit"], threshold, scores, ranges)
+    """Metrics with ``unit`` replaced by the key columns of the model it stands for."""
     names = [
         F.get(text_array([row[k] for row in models]), F.col("unit")).alias(key)
         for k, key in enumerate(keys)
     ]
-    return metrics.select(*names, GROUP, "total_examples", *METRIC_COLUMNS)
+    return metrics.select(*names, *[c for c in metrics.columns if c != "unit"])
+
+
+def complete_units(scored: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(unit, rows, complete): whether a model's scored rows are the very ids of the
+    labelled rows. Counts and sums of hashed ids are compared, so no id is shuffled again.
+    Predictions for other rows, as of a table that is filtered here, do no harm."""
+    ids = F.struct(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"),
+    )
+    found = scored.groupBy("unit").agg(ids.alias("ids"))
+    expected = labelled.agg(ids.alias("ids")).scalar()
+    return found.select(
+        "unit",
+        expected.getField("n").alias("rows"),
+        (F.col("ids") == expected).alias("complete"),
+    )
+
+
+def gated(metrics: DataFrame, complete: DataFrame) -> DataFrame:
+    """Metrics by unit, undefined where a model's predictions are not complete or, as ids
+    repeat, make more or fewer rows than there are. ``complete`` has a row per model."""
+    joined = metrics.join(F.broadcast(complete), "unit", "left")
+    sound = F.col("complete") & (F.col("whole_examples") == F.col("rows"))
+    return joined.select(
+        *[
+            F.when(sound, F.col(c)).alias(c) if c in METRIC_COLUMNS else F.col(c)
+            for c in metrics.columns
+            if c != "whole_examples"
+        ]
+    )
 
 
 def _identity_metrics(
@@ -370,14 +418,18 @@ def _identity_metrics(
     threshold: float,
     scores: DataFrame | None,
     ranges: int | None,
+    complete: DataFrame | None = None,
 ) -> DataFrame:
     count = len(identities)
     positions = f"concat(array(CAST(NULL AS INT)), slice(sequence(0, {count}), 1, {count}))"
     units = scored.sparkSession.range(0, len(models), 1, 1).select(
         F.col("id").cast("int").alias("unit"), F.explode(F.expr(positions)).alias(GROUP)
     )
-    metrics = metrics_of_units(scored, units, models, keys, threshold, scores, ranges)
-    return metrics.select(
+    metrics = metrics_per_group(scored, units, ["unit"], threshold, scores, ranges)
+    metrics = _beside_whole_of_few(metrics, ["unit"])
+    if complete is not None:
+        metrics = gated(metrics, complete)
+    return named_units(metrics, models, keys).select(
         *keys,
         F.col(GROUP).alias("ord"),
         F.get(text_array(identities), F.col(GROUP)).alias("identity"),
@@ -418,11 +470,15 @@ def evaluate_predictions(
     """:func:`bias_metrics` of a prediction table (keys, id, score) against labels.
 
     The one wide shuffle is the join on the id, of a number, an id and a score with
-    a label and a short list.
+    a label and a short list. Metrics of a model that lacks a prediction, or has two for
+    a row, are undefined; ``total_examples`` then tells what there is.
     """
     wanted = located(predictions, models, keys).select("unit", "id", "score")
     scored = attach_predictions(labelled, wanted, identities, membership_cut)
-    return _identity_metrics(scored, models, identities, keys, threshold, wanted, ranges)
+    complete = complete_units(scored, labelled)
+    return _identity_metrics(
+        scored, models, identities, keys, threshold, wanted, ranges, complete
+    )
 
 
 def flat_metrics(metrics: DataFrame, keys: Sequence[str] = ("dataset", "model")) -> DataFrame:

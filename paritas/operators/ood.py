@@ -11,7 +11,16 @@ from pyspark.sql import types as T
 from paritas.catalogue import METRIC_COLUMNS
 from paritas.functions.groups import parse_groups
 from paritas.functions.values import above, zero_if_missing
-from paritas.operators.metrics import GROUP, located, metrics_of_units
+from paritas.operators.metrics import (
+    GROUP,
+    beside_whole,
+    complete_units,
+    gated,
+    located,
+    metrics_per_group,
+    named_units,
+)
+from paritas.session import written
 
 # Column names under which such tables carry their groups and text.
 GROUP_COLUMNS = ("target_groups", "target_group", "group")
@@ -115,30 +124,31 @@ def ood_bias_metrics(
     models are evaluated in one plan.
     """
     keys, listed = ["model"], [(m,) for m in models]
+    # Groups are parsed once; what is read again is an id, a label and a short list.
+    narrow = written(labelled.select("id", "label", "groups"), "ood-labels")
+    catalogue = or_placeholder(written(group_catalogue(narrow), "ood-groups"))
     wanted = located(predictions, listed, keys).select("unit", "id", "score")
-    scored = wanted.join(
-        labelled.select("id", F.col("label").alias("is_toxic"), "groups"), "id"
-    )
-    catalogue = or_placeholder(group_catalogue(labelled))
+    scored = wanted.join(narrow.withColumnRenamed("label", "is_toxic"), "id")
     units = F.sequence(F.lit(0), F.lit(len(models) - 1))
     # The whole table, as null, next to every group.
     groups = catalogue.select(F.col("group").alias(GROUP)).unionByName(
         scored.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias(GROUP))
     )
-    metrics = metrics_of_units(
-        scored,
-        groups.select(F.explode(units).alias("unit"), GROUP),
-        listed,
-        keys,
-        threshold,
-        wanted,
-        ranges,
+    groups = groups.select(F.explode(units).alias("unit"), GROUP)
+    metrics = written(
+        metrics_per_group(scored, groups, ["unit"], threshold, wanted, ranges), "ood-metrics"
     )
-    return metrics.join(catalogue, F.col(GROUP) == F.col("group")).select(
-        "model",
-        F.col("group").alias("identity"),
-        "first_row",
-        "first_place",
-        "total_examples",
-        *METRIC_COLUMNS,
+    metrics = beside_whole(metrics, ["unit"], metrics.where(F.col(GROUP).isNull()))
+    metrics = gated(metrics, complete_units(scored, narrow))
+    return (
+        named_units(metrics, listed, keys)
+        .join(catalogue, F.col(GROUP) == F.col("group"))
+        .select(
+            "model",
+            F.col("group").alias("identity"),
+            "first_row",
+            "first_place",
+            "total_examples",
+            *METRIC_COLUMNS,
+        )
     )

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paritas.functions.text import ENGLISH_STOP_WORDS, tokenize, without_stop_words
 
-# Vocabularies up to this many terms are broadcast; larger ones are joined by a
-# shuffle, as Spark decides.
-BROADCAST_TERMS = 1_000_000
+# Parts in which the most frequent terms are looked for before they meet.
+VOCABULARY_PARTS = 64
 
 
 def document_tokens(
@@ -62,9 +62,14 @@ def term_statistics(tokens: DataFrame, id_col: str = "id") -> DataFrame:
 def vocabulary(statistics: DataFrame, size: int = 10_000) -> DataFrame:
     """The most frequent terms of the corpus; of equals, the first in order.
 
-    Each task keeps its own top ``size`` before they meet.
+    The first ``size`` of each of ``VOCABULARY_PARTS`` parts of the terms meet in one
+    task, however many tasks counted them.
     """
-    return statistics.orderBy(F.desc("tf"), F.asc("term")).limit(size)
+    part = F.pmod(F.xxhash64("term"), F.lit(VOCABULARY_PARTS))
+    order = [F.desc("tf"), F.asc("term")]
+    place = F.row_number().over(W.partitionBy(part).orderBy(*order))
+    first = statistics.withColumn("_place", place).where(F.col("_place") <= size)
+    return first.drop("_place").orderBy(*order).limit(size)
 
 
 def with_idf(statistics: DataFrame, documents: DataFrame) -> DataFrame:
@@ -74,11 +79,10 @@ def with_idf(statistics: DataFrame, documents: DataFrame) -> DataFrame:
     return statistics.withColumn("idf", F.ln(ratio) + F.lit(1.0))
 
 
-def term_counts(
-    tokens: DataFrame, terms: DataFrame, size: int = 10_000, id_col: str = "id"
-) -> DataFrame:
-    """(id, term, n) of the terms in a vocabulary of at most ``size`` terms."""
-    wanted = terms.select("term")
-    if size <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    return document_terms(tokens, id_col).join(wanted, "term").select(id_col, "term", "n")
+def term_counts(tokens: DataFrame, terms: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, term, n) of the terms in a vocabulary."""
+    return (
+        document_terms(tokens, id_col)
+        .join(terms.select("term"), "term")
+        .select(id_col, "term", "n")
+    )

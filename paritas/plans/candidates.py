@@ -70,8 +70,9 @@ def candidate_metrics(
     n: int = -1,
     seed: int = 42,
     penalties: Sequence[float] = PENALTIES,
-) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Train on the first 90 % of ``n`` shuffled rows, measure on the rest."""
+) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
+    """Train on the first 90 % of ``n`` shuffled rows, measure on the rest: the metrics,
+    the scored rows they come from, and the candidates."""
     split = truncate_then_split(prepared, n, seed=seed)
     train = split.where(F.col("split") == "train").drop("split")
     validation = split.where(F.col("split") == "validation").drop("split")
@@ -79,7 +80,8 @@ def candidate_metrics(
     scores = with_active_groups(candidate_scores(validation, candidates), identities)
     scored = written(scores.select("model", "id", "is_toxic", "score", "groups"), "candidates")
     keys = ["model"]
-    return bias_metrics(scored, [(name,) for name in candidates], identities, keys), candidates
+    measured = bias_metrics(scored, [(name,) for name in candidates], identities, keys)
+    return measured, scored, candidates
 
 
 def run_candidates(
@@ -91,7 +93,7 @@ def run_candidates(
     penalties: Sequence[float] = PENALTIES,
 ) -> DataFrame:
     """Train, measure, and save the candidate with the greatest overall AUC."""
-    measured, candidates = candidate_metrics(prepared, identities, n, seed, penalties)
+    measured, _, candidates = candidate_metrics(prepared, identities, n, seed, penalties)
     best = best_run(measured.where(F.col("ord") == 0)).first()
     if best["run"] is None:
         raise ValueError("no candidate has a defined AUC on the validation rows")

@@ -26,5 +26,5 @@ def run_data(
     load_comments(spark, source).write.mode("overwrite").parquet(landed)
     comments = spark.read.parquet(landed)
     slices = train_eval_slices(comments, train_n, eval_n, seed=seed)
-    write_splits(slices, data_dir, compact=train_n > 0 and eval_n > 0)
+    write_splits(slices, data_dir)
     return read_splits(spark, data_dir)

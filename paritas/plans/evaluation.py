@@ -8,13 +8,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.catalogue import BASELINE, ZERO_SHOT, ModelSpec
+from paritas.catalogue import BASELINE, METRIC_COLUMNS, ZERO_SHOT, ModelSpec
 from paritas.operators.classifier import score_baseline, train_baseline
 from paritas.operators.metrics import evaluate_predictions
 from paritas.operators.scoring import score_texts, score_zero_shot
-from paritas.sources.files import path_exists
-from paritas.sources.models import load_pipeline, save_pipeline
+from paritas.session import written
+from paritas.sources.files import list_children, path_exists
+from paritas.sources.models import load_pipeline, model_paths, save_pipeline
 from paritas.sources.results import (
+    metric_file,
     read_predictions,
     write_metrics,
     write_prediction_csv,
@@ -25,6 +27,11 @@ from paritas.sources.splits import read_splits
 log = logging.getLogger(__name__)
 
 COMMENTS = "Jigsaw"
+EVALUATED = (
+    "dataset string, ord int, identity string, total_examples bigint, "
+    + ", ".join(f"{name} double" for name in METRIC_COLUMNS)
+    + ", model string"
+)
 BASELINE_MODEL = ModelSpec("Baseline", BASELINE)
 
 
@@ -85,16 +92,40 @@ def run_models(
     models: Mapping[ModelSpec, Callable],
 ) -> DataFrame:
     """Score the saved evaluation rows with raw, fine-tuned or zero-shot models and
-    write predictions and metrics of those that worked."""
+    write predictions and metrics of those that worked; of none, the result is empty."""
     data = read_splits(spark, data_dir)
     done = write_model_scores(data.evaluation, COMMENTS, models, results_dir)
     return run_metrics(spark, data_dir, results_dir, done)
 
 
+def run_finetuned(
+    spark: SparkSession,
+    data_dir: str,
+    results_dir: str,
+    folders: Mapping[ModelSpec, str],
+    load: Callable[[str], Callable],
+) -> DataFrame:
+    """:func:`run_models` with models loaded from their folders: the final model there,
+    or its newest checkpoint. ``load`` makes a model function of a path. Models that have
+    a metric table already are not scored again."""
+    models = {}
+    for model, folder in folders.items():
+        if not path_exists(spark, folder):
+            log.warning("no model at %s", folder)
+        elif path_exists(spark, f"{results_dir}/{metric_file(model)}"):
+            log.info("%s is evaluated already, skipping", model.name)
+        else:
+            row = model_paths(list_children(spark, folder)).first()
+            models[model] = load(row["path"] if row else folder)
+    return run_models(spark, data_dir, results_dir, models)
+
+
 def run_metrics(
     spark: SparkSession, data_dir: str, results_dir: str, models: Sequence[ModelSpec]
 ) -> DataFrame:
     """Metrics of all given models from their written predictions, in one plan."""
+    if not models:
+        return spark.createDataFrame([], EVALUATED)
     data = read_splits(spark, data_dir)
     path = f"{results_dir}/predictions"
     predictions = read_predictions(spark, path).where(F.col("dataset") == COMMENTS)
@@ -106,24 +137,40 @@ def run_metrics(
     metrics.coalesce(1).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("model").parquet(table)
-    written = spark.read.parquet(table)
-    write_metrics(written, results_dir, models)
-    return written
+    saved = spark.read.parquet(table)
+    write_metrics(saved, results_dir, models)
+    return saved
 
 
 def export_predictions(
     texts: DataFrame, dataset: str, results_dir: str, models: Sequence[ModelSpec]
 ) -> None:
     """Predictions next to their texts in the public CSV form. ``texts`` has the id
-    and ``comment_text``, or ``text`` if the data set is out of domain."""
+    and ``comment_text``, or ``text`` if the data set is out of domain.
+
+    All models' predictions meet the texts in one join, whose result is written and read
+    once per model. A model without a prediction for every text is not exported.
+    """
     predictions = read_predictions(texts.sparkSession, f"{results_dir}/predictions")
     text = "comment_text" if dataset == COMMENTS else "text"
-    for model in models:
-        of_model = predictions.where(
-            (F.col("dataset") == dataset) & (F.col("model") == model.key)
-        )
-        joined = texts.select("id", text).join(of_model, "id")
-        write_prediction_csv(joined, results_dir, model, out_of_domain=dataset != COMMENTS)
+    columns = [
+        F.max(F.when(F.col("model") == model.key, F.col("score"))).alias(f"s{i}")
+        for i, model in enumerate(models)
+    ]
+    wanted = predictions.where(
+        (F.col("dataset") == dataset) & F.col("model").isin(*[m.key for m in models])
+    )
+    wide = wanted.groupBy("id").agg(*columns)
+    joined = written(texts.select("id", text).join(wide, "id", "left").drop("id"), "export")
+    counts = joined.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(f"s{i}").alias(f"s{i}") for i in range(len(models))]
+    ).first()
+    for i, model in enumerate(models):
+        if counts[f"s{i}"] < counts["rows"]:
+            log.warning("%s has no prediction for every text, not exported", model.name)
+            continue
+        scored = joined.select(text, F.col(f"s{i}").alias("score"))
+        write_prediction_csv(scored, results_dir, model, out_of_domain=dataset != COMMENTS)
 
 
 def skip_if_done(spark: SparkSession, path: str, make: Callable[[], None]) -> bool:

@@ -44,5 +44,5 @@ def run_ood(
     written = f"{results_dir}/metrics/{OUT_OF_DOMAIN}"
     metrics.write.mode("overwrite").parquet(written)
     metrics = spark.read.parquet(written)
-    write_ood_metrics(metrics, results_dir)
+    write_ood_metrics(metrics, results_dir, done)
     return metrics

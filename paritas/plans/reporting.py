@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from paritas.sources.results import (
 )
 from paritas.sources.splits import read_splits
 
+log = logging.getLogger(__name__)
+
 
 def run_report(spark: SparkSession, results_dir: str, models: Sequence[ModelSpec]) -> DataFrame:
     """Write and return the wide report of all metric files found."""
@@ -49,8 +53,13 @@ def run_compiled_predictions(
             "id", F.col("comment_text").alias("sentence"), F.col("is_toxic").alias("true_label")
         )
     }
-    if ood_sources:
-        base[OUT_OF_DOMAIN] = read_ood(spark, ood_sources, sample).select(
+    try:
+        table = read_ood(spark, ood_sources, sample) if ood_sources else None
+    except AnalysisException:
+        log.warning("no out-of-domain table can be read, only comments are compiled")
+        table = None
+    if table is not None:
+        base[OUT_OF_DOMAIN] = table.select(
             "id", F.col("text").alias("sentence"), F.col("label").alias("true_label")
         )
     predictions = read_predictions(spark, f"{results_dir}/predictions")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for tables written between jobs.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors are one process, falls back to a temporary folder.
+    It is the one ``spark.checkpoint.dir`` names. Tables written there are not removed
+    here, as later steps may still read them; whoever owns the folder clears it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="paritas-")
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,8 +29,10 @@ def rank_ranges(spark: SparkSession) -> int:
     """How many score ranges to rank in: at least one per shuffle partition of the
     session, so the setting that sizes its shuffles sizes the ranking too. Finding a
     score's range takes four-way steps, hence a power of four."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return next((n for n in (16, 64, 256, 1024) if n >= partitions), 4096)
+    ranges = 16
+    while ranges < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        ranges *= 4
+    return ranges
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

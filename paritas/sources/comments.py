@@ -57,11 +57,29 @@ def load_comments(
     return prepare_comments(read_comments(spark, root, split), threshold, clean_text)
 
 
-def read_ood(spark: SparkSession, paths: Sequence[str], sample: int = -1) -> DataFrame:
-    """The first readable out-of-domain table, with ``label`` and ``text`` set.
+def _with_id(table: DataFrame) -> DataFrame:
+    """The table with an ``id``, made where it has none from file and row in the file.
+
+    It is the same whenever the same files are read, so it joins predictions with labels
+    and texts across jobs. The upper half is a hash of the file's path, the lower half
+    the row. Should two files ever share a hash, ids repeat, and the metrics of all models
+    come out undefined instead of wrong.
+    """
+    if "id" in table.columns:
+        return table
+    file = F.xxhash64("_metadata.file_path").bitwiseAND(0x7FFFFFFF)
+    made = F.shiftleft(file, 32) + F.col("_metadata.row_index")
+    return table.select(made.alias("id"), "*")
+
+
+def read_ood(
+    spark: SparkSession, paths: Sequence[str], sample: int = -1, id_column: str = "id"
+) -> DataFrame:
+    """The first readable out-of-domain table, with ``id``, ``label`` and ``text`` set.
 
     Only the first source is a mixed one that its own split column has to narrow;
-    the sample, if asked for, is exact and reproducible.
+    the sample, if asked for, is exact and reproducible. ``id_column`` names the id of a
+    table that has one under another name.
     """
     failure: Exception | None = None
     for i, path in enumerate(paths):
@@ -70,6 +88,8 @@ def read_ood(spark: SparkSession, paths: Sequence[str], sample: int = -1) -> Dat
         except AnalysisException as error:
             failure = error
             continue
-        rows = test_split(table) if i == 0 else table
+        if id_column != "id" and id_column in table.columns:
+            table = table.drop("id").withColumnRenamed(id_column, "id")
+        rows = test_split(_with_id(table)) if i == 0 else _with_id(table)
         return with_text(sample_rows(with_label(rows), sample))
     raise failure or ValueError("no out-of-domain source given")

@@ -1,22 +1,34 @@
-"""Small questions to the file system the session uses."""
+"""Small questions to the file system the session uses, asked through its readers."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """What lies below a path; only names are read, never contents."""
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    )
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    target = _path(spark, path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        _files(spark, path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def list_children(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, entry): the direct children of one folder, such as a model's."""
-    target = _path(spark, folder)
-    statuses = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
-    rows = [(folder, status.getPath().getName()) for status in statuses]
-    return spark.createDataFrame(rows, "folder string, entry string")
+    """(folder, entry): the direct children of one folder, such as a model's, that are
+    files or hold any."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.substring_index(F.url_decode("path"), f"/{name}/", -1)
+    return (
+        _files(spark, folder)
+        .select(F.lit(folder).alias("folder"), F.substring_index(inside, "/", 1).alias("entry"))
+        .distinct()
+    )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from paritas.catalogue import (
     safe_name,
 )
 from paritas.operators.report import result_files, with_display_names
+from paritas.sources.files import list_children, path_exists
 
 METRIC_SCHEMA = T.StructType(
     [
@@ -28,6 +29,9 @@ METRIC_SCHEMA = T.StructType(
 )
 
 
+# The names of result files, here and below.
+
+
 def metric_file(model: ModelSpec) -> str:
     """File name that tells model and phase of a metric table."""
     if model.phase == BASELINE:
@@ -68,58 +72,71 @@ def write_metrics(metrics: DataFrame, folder: str, models: Sequence[ModelSpec])
         _csv(public_metrics(of_model).coalesce(1), f"{folder}/{metric_file(model)}")
 
 
-def write_ood_metrics(metrics: DataFrame, folder: str) -> None:
-    """All models in one CSV, the model first."""
-    public = public_metrics(metrics, with_model=True)
+# Fixed value: the baseline's name in the out-of-domain table.
+OOD_BASELINE_NAME = "Baseline (TF-IDF + LR)"
+
+
+def write_ood_metrics(metrics: DataFrame, folder: str, models: Sequence[ModelSpec]) -> None:
+    """All models in one CSV, the model first and under its bare name."""
+    bare = {m.key: OOD_BASELINE_NAME if m.phase == BASELINE else m.name for m in models}
+    names = F.create_map(*[F.lit(v) for pair in bare.items() for v in pair])
+    named = metrics.withColumn(
+        "model", F.coalesce(F.try_element_at(names, F.col("model")), F.col("model"))
+    )
+    public = public_metrics(named, with_model=True)
     _csv(public.coalesce(1), f"{folder}/ood_toxigen_metrics.csv")
 
 
+def _of_header(rows: DataFrame) -> DataFrame:
+    """The metric columns of one CSV, found by their headers; one it lacks is null."""
+    return rows.select(
+        *[
+            (F.col(f"`{header}`") if header in rows.columns else F.lit(None))
+            .cast(field.dataType)
+            .alias(field.name)
+            for field in METRIC_SCHEMA.fields
+            for header in [METRIC_HEADERS[field.name]]
+        ],
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def read_metric_files(spark: SparkSession, folder: str, models: Sequence[str]) -> DataFrame:
     """(model, ord, identity, total_examples, metrics) of all metric CSVs in a folder.
 
-    The model and its phase come from the file name; other files are not read. The
-    position of an identity is that in the catalogue of its file.
+    The model and its phase come from the file name; other files are not read. Each file's
+    columns are taken by its own header, as some have more than others; there are as many
+    files as models. The position of an identity is that in its file.
     """
-    names = "{baseline_metrics.csv,*_raw_metrics.csv,*_finetuned_metrics.csv}"
-    try:
-        rows = (
-            spark.read.schema(METRIC_SCHEMA)
-            .option("header", True)
-            .option("escape", '"')
-            .csv(f"{folder}/{names}")
-        )
-    except AnalysisException:
-        empty = T.StructType(
-            [
-                T.StructField("model", T.StringType()),
-                T.StructField("ord", T.LongType()),
-                *METRIC_SCHEMA.fields,
-            ]
-        )
-        return spark.createDataFrame([], empty)
-    path = F.col("_metadata.file_path")
-    placed = rows.select(
-        "*",
-        F.monotonically_increasing_id().alias("line"),
-        F.url_decode(F.regexp_extract(path, r"([^/]+_metrics\.csv)", 1)).alias("file"),
+    found = list_children(spark, folder) if path_exists(spark, folder) else None
+    schema = T.StructType(
+        [
+            T.StructField("model", T.StringType()),
+            T.StructField("ord", T.LongType()),
+            *METRIC_SCHEMA.fields,
+        ]
     )
-    files = with_display_names(result_files(placed.select("file").distinct()), models)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    files = with_display_names(result_files(found.withColumnRenamed("entry", "file")), models)
     suffix = (
         F.when(F.col("phase") == BASELINE, F.lit(""))
         .when(F.col("phase") == FINETUNED, F.lit(" Finetuned"))
         .otherwise(F.lit(" Raw"))
     )
-    named = placed.join(
-        files.select("file", F.concat("model", suffix).alias("model")), "file"
-    )
-    from pyspark.sql import Window as W
-
-    in_file = W.partitionBy("model").orderBy("line")
-    return named.select(
-        "model",
-        (F.row_number().over(in_file) - 1).cast("long").alias("ord"),
-        *METRIC_SCHEMA.names,
-    )
+    listed = files.select("file", F.concat("model", suffix).alias("model")).orderBy("model")
+    in_file = Window.partitionBy(F.lit(0)).orderBy("line")  # a file has a row per identity
+    tables = [
+        _of_header(
+            spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{row['file']}")
+        ).select(
+            F.lit(row["model"]).alias("model"),
+            (F.row_number().over(in_file) - 1).cast("long").alias("ord"),
+            *METRIC_SCHEMA.names,
+        )
+        for row in listed.collect()
+    ]
+    return reduce(DataFrame.unionByName, tables, spark.createDataFrame([], schema))
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

@@ -16,15 +16,14 @@ class SavedData(NamedTuple):
     identities: list[str]
 
 
-def write_splits(split_df: DataFrame, path: str, compact: bool = False) -> None:
+def write_splits(split_df: DataFrame, path: str) -> None:
     """One folder per split, plus the identity columns as a small table.
 
-    ``compact`` is for slices that are small against the table they come from: their
-    rows are gathered into files of a sensible size instead of one per scanned part.
+    Rows are rebalanced, so a slice that is small against the table it comes from is not
+    one file per scanned part, and a large one has files of a sensible size.
     """
     spark = split_df.sparkSession
-    rows = split_df.hint("rebalance", "split") if compact else split_df
-    rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
+    split_df.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
     write_identities(spark, present_identities(split_df.columns), path)
 
 

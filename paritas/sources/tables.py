@@ -10,13 +10,3 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan over all cores, for costly work per row.
-
-    A table of few splits, or of one large row group in several, would keep most
-    cores idle. What is shuffled for this is less than one read split per core; a
-    table with more splits than cores is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -13,6 +13,7 @@ from paritas.plans.evaluation import (
     BASELINE_MODEL,
     export_predictions,
     run_baseline,
+    run_finetuned,
     run_models,
     skip_if_done,
 )
@@ -135,6 +136,7 @@ def test_whole_pipeline(spark, root, tmp_path):
     assert {r["model"] for r in ood.collect()} == {"Baseline", "org/tiny Finetuned"}
     written = spark.read.option("header", True).csv(f"{results}/ood_toxigen_metrics.csv")
     assert written.columns[:3] == ["Model", "Identity", "Total Examples"]
+    assert {r["Model"] for r in written.collect()} == {"Baseline (TF-IDF + LR)", "org/tiny"}
 
     report = run_report(spark, results, MODELS)
     assert [r["identity"] for r in report.orderBy("ord").collect()] == data.identities
@@ -172,5 +174,48 @@ def test_whole_pipeline(spark, root, tmp_path):
     ]
 
 
+def test_all_models_fail_and_the_run_goes_on(spark, root, tmp_path):
+    data_dir, results = str(tmp_path / "data"), str(tmp_path / "results")
+    run_data(spark, root, data_dir, train_n=50, eval_n=20)
+    assert run_models(spark, data_dir, results, {BROKEN: broken_model()}).count() == 0
+
+
+def test_newest_checkpoint_is_scored_once(spark, root, tmp_path):
+    data_dir, results = str(tmp_path / "data"), str(tmp_path / "results")
+    run_data(spark, root, data_dir, train_n=50, eval_n=20)
+    for step in (5, 40):
+        folder = tmp_path / "model" / f"checkpoint-{step}"
+        folder.mkdir(parents=True)
+        (folder / "weights").write_text("w")
+    loaded = []
+
+    def load(path):
+        loaded.append(path)
+        return length_model()
+
+    folders = {TUNED: str(tmp_path / "model"), BROKEN: str(tmp_path / "nothing")}
+    assert run_finetuned(spark, data_dir, results, folders, load).count() == 24
+    assert run_finetuned(spark, data_dir, results, folders, load).count() == 0
+    assert [path.rsplit("/", 1)[-1] for path in loaded] == ["checkpoint-40"]
+
+
+def test_compiled_table_without_out_of_domain_source(spark, root, tmp_path):
+    data_dir, results = str(tmp_path / "data"), str(tmp_path / "results")
+    run_data(spark, root, data_dir, train_n=50, eval_n=20)
+    run_models(spark, data_dir, results, {TUNED: length_model()})
+    compiled = run_compiled_predictions(spark, data_dir, results, [TUNED], [f"{root}/gone"])
+    assert {r["dataset"] for r in compiled.collect()} == {"Jigsaw"}
+
+
+def test_ids_of_a_table_without_them_stay(spark, root, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.read.parquet(f"{root}/ood").drop("id").repartition(3).write.parquet(path)
+    first = read_ood(spark, [path])
+    assert first.select("id").distinct().count() == first.count() > 0
+    again = read_ood(spark, [path]).select("id", F.col("text").alias("again"))
+    assert first.join(again, "id").where("text = again").count() == first.count()
+    assert read_ood(spark, [path], sample=1).count() == 1
+
+
 def test_report_of_an_empty_folder_is_empty(spark, tmp_path):
     assert run_report(spark, str(tmp_path), MODELS).count() == 0

@@ -93,6 +93,52 @@ def test_score_ranges_are_even_for_crowded_scores(spark):
     assert max(sizes) <= 1.5 * 20_000 / 16
 
 
+def test_score_ranges_are_even_for_unequal_partitions(spark):
+    """Ten read partitions of ten rows each, and one of 100,000 with other scores."""
+    few = spark.createDataFrame([(i / 1000, i % 2) for i in range(100)], "score double, y int")
+    many = spark.range(0, 100_000, 1, 1).selectExpr("0.5 + id / 1e6 AS score", "int(id % 2) AS y")
+    df = few.repartition(10).union(many).selectExpr(
+        "'m' AS model", "y AS is_toxic", "score", "array(0) AS groups"
+    )
+    counts = metrics.score_counts(metrics.group_rows(df, KEYS), KEYS)
+    sizes = metrics.with_score_range(counts, df, 16).groupBy("range").agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n")
+    )
+    assert max(r["n"] for r in sizes.collect()) <= 1.5 * 2 * 100_100 / 16
+
+
+@pytest.mark.parametrize("label", [None, 2, 0.7, -1])
+def test_labels_other_than_0_and_1_fail(spark, label):
+    df = spark.createDataFrame(
+        [("m", 1, 1.0, 0.5, [0]), ("m", 2, None if label is None else float(label), 0.5, [0])],
+        "model string, id bigint, is_toxic double, score double, groups array<int>",
+    )
+    for made in (metrics.bias_metrics(df, [("m",)], ["a"], KEYS), metrics.group_auc(df, KEYS)):
+        with pytest.raises(Exception, match="neither 0 nor 1"):
+            made.collect()
+
+
+def test_partial_and_repeated_predictions_have_no_metrics(spark):
+    labelled = spark.createDataFrame(
+        [(i, i % 2, 1.0) for i in range(10)], "id bigint, is_toxic int, a double"
+    )
+    whole = [("m", i, i / 10) for i in range(10)]
+    cases = {
+        "whole": whole,
+        "partial": whole[:4],
+        "twice": whole + whole,
+        "moved": [("m", max(i, 1), s) for _, i, s in whole],
+        "beyond": [*whole, ("m", 99, 0.1)],
+    }
+    for name, rows in cases.items():
+        predictions = spark.createDataFrame(rows, "model string, id bigint, score double")
+        (row,) = metrics.evaluate_predictions(
+            labelled, predictions, [("m",)], ["a"], KEYS
+        ).collect()
+        assert (row["subgroup_auc"] is not None) == (name in ("whole", "beyond")), name
+        assert (row["overall_auc"] is not None) == (name in ("whole", "beyond")), name
+
+
 @settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )

@@ -105,6 +105,23 @@ def test_metrics_over_parsed_groups(spark):
     assert got["b"]["overall_auc"] == 1.0
 
 
+def test_many_groups(spark):
+    """As many groups as rows: none of them meets all others in one task."""
+    labelled = spark.range(0, 100_000, 1, 8).selectExpr(
+        "id", "int(id % 2) AS label", "array(concat('g', id)) AS groups"
+    )
+    predictions = labelled.selectExpr("id", "'m' AS model", "double(label) AS score")
+    df = ood.ood_bias_metrics(labelled, predictions, ["m"])
+    row = df.agg(
+        F.count("*").alias("n"),
+        F.sum("total_examples").alias("examples"),
+        F.min("overall_auc").alias("auc"),
+    ).first()
+    assert tuple(row) == (100_000, 100_000, 1.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_placeholder_when_no_group_parses(spark):
     got = metrics(spark, [[], []])
     assert list(got) == ["placeholder"]

@@ -47,7 +47,7 @@ def test_term_statistics(spark):
     assert {r["term"] for r in top.collect()} == {"aa", "bb"}
     idf = {r["term"]: r["idf"] for r in terms.with_idf(top, documents(spark)).collect()}
     assert idf["aa"] == pytest.approx(math.log(5 / 3) + 1)
-    kept = terms.term_counts(tokens, top, 2)
+    kept = terms.term_counts(tokens, top)
     assert {r["term"] for r in kept.collect()} == {"aa", "bb"}
 
 
