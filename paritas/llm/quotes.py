@@ -133,35 +133,42 @@ def threads(parents: DataFrame) -> DataFrame:
 
     Each round doubles the length of all jumps towards the root, so there are as many
     rounds as the logarithm of the longest thread; each is written to the shared folder.
+    A message that has reached its root is settled and only looked up from then on.
     """
-    jumps = written(
+    active = written(
         parents.select("*", F.col("parent").alias("up"), F.lit(1).alias("steps")), "jumps"
     )
+    settled = active.limit(0)
     while True:
-        upper = jumps.select(
+        known = active.withColumn("ended", F.lit(False)).union(
+            settled.withColumn("ended", F.lit(True))
+        )
+        upper = known.select(
             "conv_id",
             F.col("turn").alias("up"),
             F.col("up").alias("further"),
             F.col("steps").alias("more"),
+            "ended",
         )
-        moved = jumps.join(upper, ["conv_id", "up"], "left").select(
+        moved = active.join(upper, ["conv_id", "up"], "left").select(
             "conv_id",
             "turn",
             "parent",
             F.coalesce("further", "up").alias("up"),
             (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.col("further").isNotNull().alias("moved"),
+            F.coalesce("ended", F.lit(True)).alias("ended"),
         )
         moved = written(moved, "jumps")
-        if moved.where("moved").isEmpty():
-            return moved.select(
+        settled = settled.union(moved.where("ended").drop("ended"))
+        active = moved.where("not ended").drop("ended")
+        if active.isEmpty():
+            return settled.select(
                 "conv_id",
                 "turn",
                 "parent",
                 F.col("up").alias("root"),
                 F.col("steps").alias("depth"),
             )
-        jumps = moved.drop("moved")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
