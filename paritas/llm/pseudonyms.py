@@ -28,7 +28,44 @@ ROUNDS = 6
 _BEFORE = r"(?<![\p{L}\p{N}])"
 _AFTER = r"(?![\p{L}\p{N}])"
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Countries by the length of their account numbers (IBAN registry).
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    33: "RU",
+}
+
+
+def _iban_format(length: int) -> str:
+    """What follows the check digits: groups of four and a rest."""
+    fours, rest = divmod(length - 4, 4)
+    return f"(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_BY_LENGTH = "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}{_iban_format(length)}"
+    for length, countries in IBAN_COUNTRIES.items()
+)
+_LISTED = "|".join(IBAN_COUNTRIES.values()).replace(" ", "|")
+#: Of a country in the registry a number has one length, so a word behind it is not taken.
+IBAN = (
+    rf"(?:{_BY_LENGTH}"
+    rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+)
 SECRET = r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"

@@ -110,3 +110,29 @@ def test_documents(spark, mini):
             assert value not in row.new
     assert changed > 10
     assert P.pseudonymised(docs.limit(0)).count() == 0
+
+
+def iban(country, length):
+    own = ("WEST12345698765432107361528493"[: length - 4])
+    spelt = "".join(str(int(c, 36)) for c in own + country + "00")
+    return f"{country}{98 - int(spelt) % 97:02d}{own}"
+
+
+def test_iban_of_every_length_ends_before_a_capital_word(spark):
+    texts, values = [], []
+    for length, countries in P.IBAN_COUNTRIES.items():
+        for country in countries.split():
+            value = iban(country, length)
+            grouped = " ".join(value[i : i + 4] for i in range(0, length, 4))
+            for word in ("A", "EU", "EUR", "EURO", "SWIFT", "EUR USD"):
+                values += [value, grouped]
+                texts += [f"{value} {word}", f"{grouped} {word}"]
+    texts += ["BE68 5390 0754 7034 EUR", "ES9121000418450200051332 USD"]
+    values += ["BE68 5390 0754 7034", "ES9121000418450200051332"]
+    out = mapped(spark, texts)
+    for text, value, new in zip(texts, values, out, strict=True):
+        found = new[: len(value)]
+        assert found != value and new[len(value) :] == text[len(value) :]
+        plain_new = found.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain_new[4:] + plain_new[:4])) % 97 == 1
+    assert mapped(spark, out, back=True) == texts
