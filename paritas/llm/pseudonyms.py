@@ -70,11 +70,58 @@ SECRET = r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 ADDRESS = r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])"
+_DAY = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4})"
+_PART = f"(?:{_DAY}|{SOCIAL}|{ADDRESS})"
+_FOUR = rf"[0-9]{{4}}{_AFTER}"
+#: Between two groups of a number: the next one does not begin another value.
+_GAP = rf"[ -](?!{_PART}{_AFTER})"
+_UNSPACED = r"[0-9]{13,19}(?![0-9])"
+_FOURS = rf"{_FOUR}(?:{_GAP}{_FOUR}){{3}}"
+_SIXES = rf"[0-9]{{4}}{_GAP}[0-9]{{6}}{_GAP}[0-9]{{4,5}}(?![0-9])"
+#: Card numbers without separators or in their usual groups, wherever they stand.
+CLOSED = rf"(?:{_UNSPACED}|{_FOURS}|{_SIXES})"
+#: Groups of four are cards where they come in fours; the last may have three more digits.
+_CARDS = (
+    r"(?:(?<!(?<![0-9])[0-9]{4}[ -])|(?<=\G[ -]))"
+    rf"(?={_FOURS}(?:(?:{_GAP}{_FOUR}){{4}})*+(?!{_GAP}{_FOUR})){_FOURS}"
+)
+_LOCAL = (
+    rf"(?:\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}"
+    rf"|[0-9]{{3}}[ .-][0-9]{{3}}[ .-](?!{_DAY}{_AFTER})[0-9]{{4}})"
+)
+_KNOWN = rf"(?:{_PART}|{_LOCAL}|{_UNSPACED}|{_CARDS}|{_SIXES}){_AFTER}"
+CARD = rf"(?:{_UNSPACED}|{_CARDS}(?:[ -](?!{_KNOWN})[0-9]{{3}}(?![0-9]))?|{_SIXES})"
+#: Digits in other groups, all that follow one another up to the next value.
+_LOOSE = (
+    r"(?:(?<![0-9][ -])|(?<=\G[ -]))(?=[0-9](?:[ -]?[0-9]){12})"
+    rf"[0-9]++(?:[ -](?!{_KNOWN})[0-9]++{_AFTER})++"
+)
+NUMBER = f"(?:{CARD}|{_LOOSE})"
+#: Country codes whose national numbers are of one length, by that length.
+NATIONAL = {
+    8: "45|47|65|37[0134]|38[27]|35[67]|85[23]|96[58]|97[3-6]|993",
+    9: "27|31|33|34|40|41|48|56|61|93|94|351|380|42[01]|886|966|992|99[4568]",
+    10: "1|7|30|44|52|57|58|90|91|98",
+}
+#: What a number with a country code begins with, by the plan of country codes.
+COUNTRY = (
+    r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+)
+_NEXT = (
+    rf"(?![ .-](?:{_PART}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|{_UNSPACED}|{_FOURS}(?!{_GAP}{_FOUR})"
+    rf"|{_SIXES}){_AFTER})"
+)
+_FIXED = "|".join(
+    rf"\+(?:{codes})(?:{_NEXT}[ .-]?\(?[0-9]\)?){{{length}}}(?![0-9])"
+    for length, codes in NATIONAL.items()
+)
+_ANY = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})"
+#: Where the length is fixed, so many digits; else up to a decimal or another value, or,
+#: where that leaves too little, as far as groups go.
 PHONE = (
-    r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})"
+    rf"(?:{_FIXED}|{_ANY}(?:{_NEXT}(?! [0-9]{{2,4}}\.[0-9])[ .-]?[0-9]{{2,4}}){{2,4}}"
+    rf"|{_ANY}(?:[ .-]?[0-9]{{2,4}}){{2,4}}|{_LOCAL})"
 )
-NUMBER = r"[0-9](?:[ -]?[0-9]){12,18}"
 _PLACED = "|".join([IBAN, SECRET, DATE, SOCIAL, ADDRESS, PHONE, NUMBER])
 FINDING = rf"{MAIL}|{_BEFORE}(?<!\+)(?:{_PLACED}){_AFTER}"
 
@@ -198,7 +245,61 @@ def _check_digit(payload: Column) -> Column:
     return _mod(-total, F.lit(10))
 
 
-def _number(text: Column, key: str, back: bool) -> Column:
+#: Steps within which a value that has to keep a property meets another that has it.
+_WALK = 24
+
+
+def _passes(digits: Column) -> Column:
+    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    return F.substr(digits, F.length(digits), F.lit(1)).cast("int") == _check_digit(payload)
+
+
+def _spans(text: Column) -> Column:
+    """Where numbers stand in a row of groups, as (at, n) of characters: all that pass the
+    check in a usual grouping, else the row if it passes, else a card in its usual groups."""
+    span = "array<struct<at:int,n:int>>"
+
+    def starting(i: Column) -> Column:
+        rest = F.substr(text, i, F.length(text))
+        number = F.regexp_extract(rest, f"^{CLOSED}", 0)
+        return _let(
+            number,
+            lambda w: F.struct(
+                i.alias("at"),
+                F.when(_passes(_only(w, "0-9")), F.length(w)).otherwise(0).alias("n"),
+            ),
+        )
+
+    def apart(held: Column, x: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        return F.when(
+            (F.size(held) == 0) | (x.at >= last.at + last.n), F.array_append(held, x)
+        ).otherwise(held)
+
+    starts = F.filter(
+        F.sequence(F.lit(1), F.length(text)),
+        lambda i: F.regexp_extract(F.substr(text, i, F.length(text)), f"^{CLOSED}", 0) != "",
+    )
+    starts = F.filter(
+        starts, lambda i: (i == 1) | ~F.substr(text, i - 1, F.lit(1)).rlike("[0-9]")
+    )
+    passing = F.filter(F.transform(starts, starting), lambda x: x.n > 0)
+    first = F.regexp_extract(text, f"^{CLOSED}", 0)
+    none = F.array().cast(span)
+
+    def whole(n: Column) -> Column:
+        return F.array(F.struct(F.lit(1).alias("at"), n.alias("n"))).cast(span)
+
+    return _let(
+        F.aggregate(passing.cast(span), none, apart),
+        lambda found: F.when(F.size(found) > 0, found)
+        .when(F.length(_only(text, "0-9")).between(13, 19), whole(F.length(text)))
+        .when(text.rlike(f"^{CARD}$"), whole(F.length(first)))
+        .otherwise(none),
+    )
+
+
+def _renumbered(text: Column, key: str, back: bool) -> Column:
     digits = _only(text, "0-9")
     payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
     off = F.substr(digits, F.length(digits), F.lit(1)).cast("int") - _check_digit(payload)
@@ -210,12 +311,43 @@ def _number(text: Column, key: str, back: bool) -> Column:
     return _let(_permuted_text(payload, "number", key, back), renewed)
 
 
+def _number(text: Column, key: str, back: bool) -> Column:
+    """The numbers in a row of groups. Where the pseudonyms would make others in the row
+    pass the check, they are permuted on, so that the way back finds the same ones."""
+    walked = "struct<t:string,done:boolean>"
+
+    def moved(row: Column, spans: Column) -> Column:
+        return F.aggregate(
+            spans,
+            row,
+            lambda t, s: F.concat(
+                F.substr(t, F.lit(1), s.at - 1),
+                _renumbered(F.substr(t, s.at, s.n), key, back),
+                F.substr(t, s.at + s.n, F.length(t)),
+            ),
+        )
+
+    def walk(spans: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            ended = _let(
+                moved(state.t, spans),
+                lambda t: F.struct(t.alias("t"), (_spans(t) == spans).alias("done")),
+            )
+            return F.when(state.done, state).otherwise(ended).cast(walked)
+
+        begin = F.struct(text.alias("t"), F.lit(False).alias("done")).cast(walked)
+        steps = F.sequence(F.lit(1), F.lit(_WALK))
+        return F.when(F.size(spans) > 0, F.aggregate(steps, begin, step, lambda s: s.t))
+
+    return _let(_spans(text), walk)
+
+
 def _phone(text: Column, key: str, back: bool) -> Column:
-    """The last ten digits, or all of a shorter number; a prefix stays."""
+    """The national number, or all of a number without a country code."""
     digits = _only(text, "0-9")
-    own = F.least(F.length(digits), F.lit(10))
-    prefix = F.substr(digits, F.lit(1), F.length(digits) - own)
-    national = F.substr(digits, F.length(digits) - own + 1, own)
+    code = F.when(text.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(0)
+    prefix = F.substr(digits, F.lit(1), code)
+    national = F.substr(digits, code + 1, F.length(digits) - code)
     new = _permuted_text(national, "phone", key, back)
     return _let(F.concat(prefix, new), lambda all_: _refilled(text, "0-9", all_))
 
@@ -276,10 +408,6 @@ def _social(text: Column, key: str, back: bool) -> Column:
     return F.when(valid, _let(new, spelt))
 
 
-#: Steps within which a date that is read month first meets another such date.
-_WALK = 24
-
-
 def _date(text: Column, key: str, back: bool) -> Column:
     """A day is permuted among the days of its century. They are 36525 = 75 * 487 in a
     century that begins with a leap year, else 36524 = 92 * 397, so a day is two digits of

@@ -136,3 +136,43 @@ def test_iban_of_every_length_ends_before_a_capital_word(spark):
         plain_new = found.replace(" ", "")
         assert int("".join(str(int(c, 36)) for c in plain_new[4:] + plain_new[:4])) % 97 == 1
     assert mapped(spark, out, back=True) == texts
+
+
+#: Two values of every kind and format, as they stand beside each other.
+SIDE = [
+    ["a.b@example.com", "c@mail.example.org"],
+    ["DE89 3704 0044 0532 0130 00", "BE68539007547034"],
+    ["9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "B44E15E09FD311C3CF3163B66D5A9875"],
+    ["2024-03-05", "12/25/2024", "05.03.2024"],
+    ["123-45-6789", "665-01-0001"],
+    ["190.137.223.204", "8.8.8.8"],
+    ["+1 (826) 555-4081", "+33 1 23 45 67 89", "(017) 555-7713", "017-555-7713"],
+    ["4111 1111 1111 1111", "4845168114407329", "3782 822463 10005", "5500-0000-0000-0004"],
+]
+
+
+def test_values_side_by_side_are_those_they_are_alone(spark):
+    values = [value for kind in SIDE for value in kind]
+    alone = dict(zip(values, mapped(spark, values), strict=True))
+    assert all(alone[value] != value for value in values)
+    pairs = [(a, b) for a in values for b in values]
+    texts = [f"{a} {b}" for a, b in pairs]
+    out = mapped(spark, texts)
+    wrong = [t for t, (a, b), o in zip(texts, pairs, out) if o != f"{alone[a]} {alone[b]}"]
+    assert not wrong
+    assert mapped(spark, out, back=True) == texts
+
+
+def test_findings_end_with_their_value(spark):
+    texts = [
+        "+44 20 7946 0958 12 people",
+        "+1 (017) 555-7713 2024 3",
+        "4111 1111 1111 1111 123",
+        "+49 30 1234 5678 12.50 EUR",
+    ]
+    ends = [" 12 people", " 2024 3", " 123", " 12.50 EUR"]
+    out = mapped(spark, texts)
+    for text, end, new in zip(texts, ends, out, strict=True):
+        assert new.endswith(end) and new[: -len(end)] != text[: -len(end)]
+    assert out[2][:19].replace(" ", "") == mapped(spark, ["4111111111111111"])[0]
+    assert mapped(spark, out, back=True) == texts
