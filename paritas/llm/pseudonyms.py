@@ -3,13 +3,15 @@
 Found and validated are mail addresses, account numbers (IBAN, by check digits), long
 hexadecimal secrets, dates (by the calendar), social security numbers and IP addresses
 (by the ranges of their parts), telephone numbers and card or account numbers of 13 to 19
-digits. What fails its check stays. Each is permuted among the values of its kind and
+digits (by the mod-10 check, unless they have no separators or a card's usual groups).
+What fails its check stays. Each is permuted among the values of its kind and
 format by a Feistel network whose rounds are keyed hashes. The permutation depends on key
 and kind alone: equal values get equal pseudonyms in all documents whatever separators
 they are written with, unequal values unequal ones, and the holder of the key can go back.
-Separators stay; check digits are computed anew, and a wrong one stays wrong by as much; a
-date stays in its century; the domain of a mail address stays, letters that are not ASCII
-too.
+Only numbers in a row of groups that can be read in several ways are permuted further,
+until they are read as before. Separators stay; check digits are computed anew, and a
+wrong one stays wrong by as much; a date stays in its century; the domain of a mail
+address stays, letters that are not ASCII too.
 
 Only built-in SQL functions are used: a text is split at the findings, the findings are
 transformed, and both are joined again. Null and empty texts and texts without findings
@@ -254,6 +256,11 @@ def _passes(digits: Column) -> Column:
     return F.substr(digits, F.length(digits), F.lit(1)).cast("int") == _check_digit(payload)
 
 
+def _row_passes(text: Column) -> Column:
+    """Whether all digits of a row of groups are one number that passes the check."""
+    return _let(_only(text, "0-9"), lambda d: F.length(d).between(13, 19) & _passes(d))
+
+
 def _spans(text: Column) -> Column:
     """Where numbers stand in a row of groups, as (at, n) of characters: all that pass the
     check in a usual grouping, else the row if it passes, else a card in its usual groups."""
@@ -293,7 +300,7 @@ def _spans(text: Column) -> Column:
     return _let(
         F.aggregate(passing.cast(span), none, apart),
         lambda found: F.when(F.size(found) > 0, found)
-        .when(F.length(_only(text, "0-9")).between(13, 19), whole(F.length(text)))
+        .when(_row_passes(text), whole(F.length(text)))
         .when(text.rlike(f"^{CARD}$"), whole(F.length(first)))
         .otherwise(none),
     )

@@ -176,3 +176,19 @@ def test_findings_end_with_their_value(spark):
         assert new.endswith(end) and new[: -len(end)] != text[: -len(end)]
     assert out[2][:19].replace(" ", "") == mapped(spark, ["4111111111111111"])[0]
     assert mapped(spark, out, back=True) == texts
+
+
+def test_rows_of_numbers_stay_unless_they_pass_the_check(spark):
+    plain_rows = ["years 2019 2020 2021 2022 2023", "12 15 18 22 31 45 61"]
+    cards = [
+        "2019 4111 1111 1111 1111",
+        "41 11 11 11 11 11 11 11",
+        "4111 1111 1111 1112",
+        "4111111111111112",
+    ]
+    out = mapped(spark, plain_rows + cards)
+    assert out[:2] == plain_rows
+    assert all(new != text for text, new in zip(cards, out[2:], strict=True))
+    assert out[2].startswith("2019 ") and luhn(out[3].replace(" ", "")) == 0
+    assert luhn(out[4].replace(" ", "")) == luhn(out[5]) == luhn(cards[3])
+    assert mapped(spark, out, back=True) == plain_rows + cards
