@@ -17,6 +17,7 @@ from paritas.llm import (
     quality,
     quotes,
     tiling,
+    token_counts,
 )
 
 
@@ -71,6 +72,12 @@ def op10_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archives.archived(table(spark, folder, "pages"))
 
 
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.document_token_counts(
+        table(spark, folder, "documents"), token_counts.load()
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_masked_lm": op2_masked_lm,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_labels": op8_line_labels,
     "op9_pieces": op9_pieces,
     "op10_archives": op10_archives,
+    "op12_token_counts": op12_token_counts,
 }
 
 #: The rest learns, hashes or tiles in ways SQL can't; it is tested against brute force.
