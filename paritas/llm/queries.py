@@ -11,6 +11,7 @@ from paritas.llm import (
     langid,
     line_crf,
     masked_lm,
+    merkle,
     ngram_join,
     pieces,
     pseudonyms,
@@ -19,6 +20,7 @@ from paritas.llm import (
     tiling,
     token_counts,
 )
+from paritas.llm.merkle_sql import manifest_sql
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,6 +80,10 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_masked_lm": op2_masked_lm,
@@ -90,10 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_archives": op10_archives,
     "op12_token_counts": op12_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 #: The rest learns, hashes or tiles in ways SQL can't; it is tested against brute force.
 ORACLE: dict[str, str] = {
+    "op13_merkle": manifest_sql(),
     "op6_quotes": """
         with m as (
             select distinct conv_id, turn from conversations where trim(text, ' \n') <> ''
