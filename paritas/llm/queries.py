@@ -14,13 +14,14 @@ from paritas.llm import (
     merkle,
     ngram_join,
     pieces,
+    prefix_trie,
     pseudonyms,
     quality,
     quotes,
     tiling,
     token_counts,
 )
-from paritas.llm.merkle_sql import manifest_sql
+from paritas.llm.merkle_sql import CRC32, manifest_sql
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +85,10 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified_documents(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_masked_lm": op2_masked_lm,
@@ -95,12 +100,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_labels": op8_line_labels,
     "op9_pieces": op9_pieces,
     "op10_archives": op10_archives,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
     "op13_merkle": op13_merkle,
 }
 
 #: The rest learns, hashes or tiles in ways SQL can't; it is tested against brute force.
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": f"""
+        with own as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as txt,
+                left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '')
+                    || coalesce(text, '')), 32) as digest, turn
+            from conversations where conv_id is not null
+        ), o as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, digest)
+                as i from own
+        ), sizes as (
+            select conv_id, count(*) as n from o group by conv_id
+        ), ids as (
+            select s.conv_id, {CRC32.format("s.conv_id::varchar")} % 9 as h,
+                s.conv_id - s.conv_id % 5 as base, coalesce(b.n, 0) as base_n
+            from sizes s left join sizes b on b.conv_id = s.conv_id - s.conv_id % 5
+        ), rebuilt as (
+            select c.conv_id, o.i as d, digest, strlen(txt) as bytes
+            from ids c join o on o.conv_id = c.base where o.i <= c.h
+            union all
+            select c.conv_id, least(c.h, c.base_n) + o.i - c.h, digest, strlen(txt)
+            from ids c join o on o.conv_id = c.conv_id where o.i > c.h
+        ), path as (
+            select conv_id, 0 as d, '' as key, 0 as bytes from ids
+            union all
+            select conv_id, d, sha256(string_agg(digest, '') over (
+                partition by conv_id order by d rows unbounded preceding)), bytes
+            from rebuilt
+        ), steps as (
+            select *, lag(key) over (partition by conv_id order by d) as above,
+                lead(key) over (partition by conv_id order by d) as below
+            from path
+        ), nodes as (
+            select key, any_value(d) as depth, any_value(above) as above, min(conv_id) as conv_id,
+                count(*) as n_convs, count(distinct below) as n_children,
+                (count(*) - 1) * any_value(bytes) as saved,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id)
+                    filter (where below is null), '')) as ends_sha256
+            from steps group by key
+        ), subtrees as (
+            select p.key, count(*) filter (where n.n_children = 0) as n_leaves,
+                sum(n.saved) as saved_tokens
+            from nodes n join path p on p.conv_id = n.conv_id and p.d <= n.depth
+            group by p.key
+        )
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children,
+            s.n_leaves, s.saved_tokens::bigint as saved_tokens, n.ends_sha256
+        from nodes n join subtrees s on s.key = n.key left join nodes p on p.key = n.above
+    """,
     "op13_merkle": manifest_sql(),
     "op6_quotes": """
         with m as (
