@@ -14,6 +14,10 @@ All models, the whole table and every group come out of one pass:
    ranked once more, and nothing is joined back.
 
 Pair counts are exact decimals: at 10^11 rows they no longer fit 64 bits.
+
+Whether a model scored the very rows that have a label is seen in the same pass. Next to
+the counts of the whole table goes a fingerprint of its rows, the exclusive or of their
+hashed ids, which needs no order and no second visit to the ids.
 """
 
 from __future__ import annotations
@@ -32,6 +36,14 @@ from paritas.operators.prepare import active_identities, text_array
 from paritas.session import rank_ranges, written
 
 GROUP = "grp"
+#: Fingerprint of the rows of the whole table; null for other groups.
+ROWS = "rows_mark"
+
+
+def rows_mark(row_id: Column) -> Column:
+    """An order-free fingerprint of the ids, for as many rows: an aggregate. A row that is
+    missing and one that is there twice change it alike only by a hash collision."""
+    return F.bit_xor(F.xxhash64(row_id))
 
 
 def attach_predictions(
@@ -60,8 +72,9 @@ def with_active_groups(
     return scored.withColumn("groups", active_identities(identities, membership_cut))
 
 
-def group_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One narrow row per (row, group); group null stands for the whole table."""
+def group_rows(scored: DataFrame, keys: Sequence[str], marked: bool = False) -> DataFrame:
+    """One narrow row per (row, group); group null stands for the whole table. ``marked``
+    rows carry the id that :data:`ROWS` is made of."""
     element = scored.schema["groups"].dataType.elementType
     whole = F.array(F.lit(None).cast(element))
     return scored.select(
@@ -69,27 +82,40 @@ def group_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.explode(F.concat(whole, F.col("groups"))).alias(GROUP),
         checked_score(F.col("score")).alias("score"),
         checked_label(F.col("is_toxic")).alias("label"),
+        *(["id"] if marked else []),
     )
 
 
-def _empty_groups(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _empty_groups(groups: DataFrame, keys: Sequence[str], rows: DataFrame) -> DataFrame:
     """Rows that count nothing, so that a group without members is reported."""
-    return groups.select(
-        *keys,
-        GROUP,
-        F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("long").alias("label"),
-    )
+    listed = [*keys, GROUP]
+    nothing = [
+        F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        for c in rows.columns
+        if c not in listed
+    ]
+    return groups.select(*listed, *nothing)
 
 
 def score_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positives and negatives per (keys, group, score)."""
+    """Positives and negatives per (keys, group, score), and the mark of marked rows."""
+    whole_id = F.when(F.col(GROUP).isNull(), F.col("id")) if "id" in rows.columns else None
+    # The hash of a null is no null, so other groups are left out before it.
+    mark = [] if whole_id is None else [
+        F.bit_xor(F.when(whole_id.isNotNull(), F.xxhash64(whole_id))).alias(ROWS)
+    ]
     return rows.groupBy(*keys, GROUP, "score").agg(
         F.coalesce(F.sum("label"), F.lit(0)).alias("pos"),
         F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).alias("neg"),
+        *mark,
     )
 
 
+def _marks(counts: DataFrame) -> list[Column]:
+    """The mark of several counts together, if they have one."""
+    return [F.bit_xor(ROWS).alias(ROWS)] if ROWS in counts.columns else []
+
+
 def _cut_points(scores: DataFrame, n: int, sketch_groups: int = 1024) -> Column:
     """The n - 1 scores that cut the table into about equal parts, as one array.
 
@@ -172,6 +198,7 @@ def range_totals(
         F.sum(F.when(positive, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(positive, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(_wide(F.col("pos")) * _wide(2 * F.col("below") + F.col("neg"))).alias("pairs2"),
+        *_marks(counts),
     )
 
 
@@ -186,6 +213,7 @@ def group_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("tp").alias("tp"),
         F.sum("fp").alias("fp"),
         F.sum(across).alias("pairs2"),
+        *_marks(totals),
     )
 
 
@@ -291,6 +319,7 @@ def metrics_per_group(
     threshold: float = 0.5,
     scores: DataFrame | None = None,
     ranges: int | None = None,
+    marked: bool = False,
 ) -> DataFrame:
     """The subgroup metrics of every (keys, grp) in ``groups``; null grp is the whole
     table.
@@ -298,9 +327,10 @@ def metrics_per_group(
     ``groups`` lists what has to be reported even when nothing was scored.
     ``scores`` is the table to take score quantiles from when that is cheaper than
     reading ``scored``: the predictions, if ``scored`` joins them to the labels.
+    ``marked`` adds :data:`ROWS`, which :func:`gated` needs.
     """
-    rows = group_rows(scored, keys).unionByName(_empty_groups(groups, keys))
-    counts = score_counts(rows, keys)
+    rows = group_rows(scored, keys, marked)
+    counts = score_counts(rows.unionByName(_empty_groups(groups, keys, rows)), keys)
     totals = group_totals(
         range_totals(counts, scored if scores is None else scores, keys, threshold, ranges), keys
     )
@@ -311,6 +341,7 @@ def metrics_per_group(
         auc_column().alias("subgroup_auc"),
         fnr_column().alias("subgroup_fnr"),
         fpr_column().alias("subgroup_fpr"),
+        *([ROWS] if marked else []),
     )
     return metrics
 
@@ -319,16 +350,19 @@ def beside_whole(metrics: DataFrame, keys: Sequence[str], whole: DataFrame) -> D
     """Each group's metrics next to those of the whole table, ``whole``, which has one
     row per model."""
     overall = [F.col(f"_{name}").alias(f"overall_{name}") for name in ("auc", "fnr", "fpr")]
+    marks = [ROWS] if ROWS in whole.columns else []
     small = whole.select(
         *keys,
         F.col("total_examples").alias("whole_examples"),
         *[F.col(f"subgroup_{name}").alias(f"_{name}") for name in ("auc", "fnr", "fpr")],
+        *marks,
     )
     return (
-        metrics.where(F.col(GROUP).isNotNull())
+        metrics.drop(ROWS)
+        .where(F.col(GROUP).isNotNull())
         .join(F.broadcast(small), list(keys), "left")
         .select(
-            *keys, GROUP, "total_examples", "whole_examples", *overall, *METRIC_COLUMNS[3:]
+            *keys, GROUP, "total_examples", "whole_examples", *overall, *METRIC_COLUMNS[3:], *marks
         )
     )
 
@@ -336,9 +370,10 @@ def beside_whole(metrics: DataFrame, keys: Sequence[str], whole: DataFrame) -> D
 def _beside_whole_of_few(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """:func:`beside_whole` where the groups of a model are a fixed list."""
     per_model = W.partitionBy(*keys)
-    whole = F.when(F.col(GROUP).isNull(), F.struct("total_examples", *METRIC_COLUMNS[3:]))
+    marks = [ROWS] if ROWS in metrics.columns else []
+    of_whole = F.struct("total_examples", *METRIC_COLUMNS[3:], *marks)
     return (
-        metrics.withColumn("whole", F.max(whole).over(per_model))
+        metrics.withColumn("whole", F.max(F.when(F.col(GROUP).isNull(), of_whole)).over(per_model))
         .where(F.col(GROUP).isNotNull())
         .select(
             *keys,
@@ -350,6 +385,7 @@ def _beside_whole_of_few(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
                 for name in ("auc", "fnr", "fpr")
             ],
             *METRIC_COLUMNS[3:],
+            *[F.col(f"whole.{c}").alias(c) for c in marks],
         )
     )
 
@@ -379,33 +415,20 @@ def named_units(
     return metrics.select(*names, *[c for c in metrics.columns if c != "unit"])
 
 
-def complete_units(scored: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(unit, rows, complete): whether a model's scored rows are the very ids of the
-    labelled rows. Counts and sums of hashed ids are compared, so no id is shuffled again.
-    Predictions for other rows, as of a table that is filtered here, do no harm."""
-    ids = F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"),
-    )
-    found = scored.groupBy("unit").agg(ids.alias("ids"))
-    expected = labelled.agg(ids.alias("ids")).scalar()
-    return found.select(
-        "unit",
-        expected.getField("n").alias("rows"),
-        (F.col("ids") == expected).alias("complete"),
-    )
-
-
-def gated(metrics: DataFrame, complete: DataFrame) -> DataFrame:
-    """Metrics by unit, undefined where a model's predictions are not complete or, as ids
-    repeat, make more or fewer rows than there are. ``complete`` has a row per model."""
-    joined = metrics.join(F.broadcast(complete), "unit", "left")
-    sound = F.col("complete") & (F.col("whole_examples") == F.col("rows"))
-    return joined.select(
+def gated(metrics: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Metrics, undefined where a model's scored rows are not the very rows of
+    ``labelled``: as many, and with the same mark. Predictions for other rows, as of a
+    table that is filtered here, do no harm. Of ``labelled`` only the ids are read."""
+    expected = labelled.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), rows_mark(F.col("id")).alias("mark")).alias("rows")
+    ).scalar()
+    same_rows = F.col(ROWS) == expected.getField("mark")
+    sound = (F.col("whole_examples") == expected.getField("n")) & same_rows
+    return metrics.select(
         *[
             F.when(sound, F.col(c)).alias(c) if c in METRIC_COLUMNS else F.col(c)
             for c in metrics.columns
-            if c != "whole_examples"
+            if c not in ("whole_examples", ROWS)
         ]
     )
 
@@ -418,17 +441,18 @@ def _identity_metrics(
     threshold: float,
     scores: DataFrame | None,
     ranges: int | None,
-    complete: DataFrame | None = None,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     count = len(identities)
     positions = f"concat(array(CAST(NULL AS INT)), slice(sequence(0, {count}), 1, {count}))"
     units = scored.sparkSession.range(0, len(models), 1, 1).select(
         F.col("id").cast("int").alias("unit"), F.explode(F.expr(positions)).alias(GROUP)
     )
-    metrics = metrics_per_group(scored, units, ["unit"], threshold, scores, ranges)
+    marked = labelled is not None
+    metrics = metrics_per_group(scored, units, ["unit"], threshold, scores, ranges, marked)
     metrics = _beside_whole_of_few(metrics, ["unit"])
-    if complete is not None:
-        metrics = gated(metrics, complete)
+    if labelled is not None:
+        metrics = gated(metrics, labelled)
     return named_units(metrics, models, keys).select(
         *keys,
         F.col(GROUP).alias("ord"),
@@ -475,9 +499,8 @@ def evaluate_predictions(
     """
     wanted = located(predictions, models, keys).select("unit", "id", "score")
     scored = attach_predictions(labelled, wanted, identities, membership_cut)
-    complete = complete_units(scored, labelled)
     return _identity_metrics(
-        scored, models, identities, keys, threshold, wanted, ranges, complete
+        scored, models, identities, keys, threshold, wanted, ranges, labelled
     )
 
 

@@ -14,7 +14,6 @@ from paritas.functions.values import above, zero_if_missing
 from paritas.operators.metrics import (
     GROUP,
     beside_whole,
-    complete_units,
     gated,
     located,
     metrics_per_group,
@@ -136,10 +135,11 @@ def ood_bias_metrics(
     )
     groups = groups.select(F.explode(units).alias("unit"), GROUP)
     metrics = written(
-        metrics_per_group(scored, groups, ["unit"], threshold, wanted, ranges), "ood-metrics"
+        metrics_per_group(scored, groups, ["unit"], threshold, wanted, ranges, marked=True),
+        "ood-metrics",
     )
     metrics = beside_whole(metrics, ["unit"], metrics.where(F.col(GROUP).isNull()))
-    metrics = gated(metrics, complete_units(scored, narrow))
+    metrics = gated(metrics, narrow)
     return (
         named_units(metrics, listed, keys)
         .join(catalogue, F.col(GROUP) == F.col("group"))

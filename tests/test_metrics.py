@@ -258,3 +258,42 @@ def test_number_of_ranges_is_checked(spark):
         auc_of(spark, [(1, 0.5, [])], ranges=10)
     with pytest.raises(ValueError, match="no models"):
         table(spark, [(1, 0.5, [])], models=())
+
+
+def marked_table(spark, ids, shown):
+    """Metrics of one model whose scored rows have the ids ``shown``."""
+    schema = "id long, is_toxic int, a double, b double"
+    labelled = spark.createDataFrame([(i, i % 2, 0.9, 0.0) for i in ids], schema)
+    predictions = spark.createDataFrame(
+        [("d", "m", i, 0.1 + 0.8 * (i % 2)) for i in shown],
+        "dataset string, model string, id long, score double",
+    )
+    rows = metrics.evaluate_predictions(labelled, predictions, [("d", "m")], ["a", "b"]).collect()
+    return {r["identity"]: r for r in rows}
+
+
+@pytest.mark.parametrize(
+    ("shown", "complete"),
+    [
+        (range(8), True),
+        ([*range(8), 99], True),
+        (range(7), False),
+        ([*range(7), 0], False),
+        ([*range(6), 0, 1], False),
+        ([0, 0, 0, *range(3, 8)], False),
+        ([*range(8), *range(8)], False),
+        ([], False),
+    ],
+)
+def test_metrics_need_the_very_rows(spark, shown, complete):
+    """Missing rows, rows twice and thrice, and both at once with the count unchanged."""
+    got = marked_table(spark, range(8), shown)
+    assert (got["a"]["overall_auc"] is not None) is complete
+    assert got["b"]["total_examples"] == 0
+    if complete:
+        assert got["a"]["subgroup_auc"] == 1.0 and got["a"]["total_examples"] == 8
+
+
+def test_repeated_labels_are_not_complete(spark):
+    assert marked_table(spark, [0, 1, 2, 2], [0, 1, 2])["a"]["overall_auc"] is not None
+    assert marked_table(spark, [0, 1, 2, 2], [0, 1])["a"]["overall_auc"] is None

@@ -22,9 +22,17 @@ def test_metrics_never_read_texts_or_scan_twice(spark, small):
     text = plan(QUERIES["bias_metrics"](spark, small))
     assert "text:string" not in text
     scans = re.findall(r"FileScan parquet.*?Location: \S+\[\S*/(\w+)\.parquet\]", text)
-    # Labels and predictions for the metrics, and for the check that both are of the same
-    # ids; labels to count them, and predictions for the cut points.
-    assert scans.count("documents") <= 6
+    # Labels and predictions for the metrics; labels to count them, and predictions for
+    # the cut points.
+    assert scans.count("documents") <= 4
+
+
+def test_metrics_join_on_the_id_once(spark, small):
+    for name in ("bias_metrics", "incomplete_predictions_metrics"):
+        text = plan(QUERIES[name](spark, small))
+        assert len(re.findall(r"Join \[id#\d+L?\], \[id#\d+L?\]", text)) == 1
+        # The fingerprint goes through the one aggregate, which hashes ids of the whole.
+        assert re.search(r"HashAggregate\([^\n]*partial_bit_xor\([^\n]*xxhash64\(id", text)
 
 
 def test_metrics_have_no_window_over_everything(spark, small):
@@ -34,7 +42,7 @@ def test_metrics_have_no_window_over_everything(spark, small):
     assert all("unit" in w for w in windows)
     # Single partitions merge quantile sketches, or count the labelled rows.
     assert all(
-        "kll_merge_agg_double" in before or "xxhash64(id" in before
+        "kll_merge_agg_double" in before or "bit_xor(xxhash64(id" in before
         for before in re.findall(r"([^\n]*)\n[^\n]*Exchange SinglePartition", text)
     )
 
