@@ -732,6 +732,15 @@ FROM prepared GROUP BY is_toxic""",
     "zero_shot_scores": _prepared(f"id, round({_sigmoid(YES_NO_LOGIT)}, 6) AS score"),
     "zero_shot_bias_metrics": _stub_bias("yes-no", YES_NO_LOGIT),
     "csv_comments_roundtrip": _prepared("*"),
+    "csv_quarantine": _with(
+        JIGSAW,
+        select="""SELECT id, 'target' AS "column", 'high' AS value FROM jigsaw WHERE id % 29 = 5
+UNION ALL
+SELECT id, 'asian', '0,5 "or so"' FROM jigsaw WHERE id % 31 = 7
+UNION ALL
+SELECT id, 'target', CASE WHEN id % 29 <> 3 THEN CAST(target AS VARCHAR) END
+FROM jigsaw WHERE id % 29 <> 5 AND id % 31 <> 7""",
+    ),
     "ood_source_fallback": _with(
         TOXIGEN,
         select="""SELECT id, CASE WHEN toxicity_human > 3 THEN 1 ELSE 0 END AS label,

@@ -831,6 +831,34 @@ def csv_comments_roundtrip(spark, sf_dir):
     return comment_source.load_comments(spark, root)
 
 
+@query
+def csv_quarantine(spark, sf_dir):
+    """Comments with words for missing numbers, which are null, and with texts that are no
+    numbers, which are quarantined with their place."""
+    root = scratch_path(spark, "comments")
+    target = F.when(F.col("id") % 29 == 3, "n/a").when(F.col("id") % 29 == 5, "high")
+    asian = F.when(F.col("id") % 31 == 7, '0,5 "or so"')
+    rows = fx.jigsaw(spark, sf_dir)
+    broken = rows.withColumns(
+        {
+            "target": F.coalesce(target, F.col("target").cast("string")),
+            "asian": F.coalesce(asian, F.col("asian").cast("string")),
+        }
+    )
+    (
+        broken.write.option("header", True)
+        .option("escape", '"')
+        .option("compression", "gzip")
+        .csv(comment_source.comment_file(root, "train"))
+    )
+    comments = comment_source.parse_comments(spark, root)
+    bad = comments.quarantine.select(F.col("id").cast("long").alias("id"), "column", "value")
+    sound = comments.rows.select(
+        "id", F.lit("target").alias("column"), F.col("target").cast("string").alias("value")
+    )
+    return bad.unionByName(sound)
+
+
 @query
 def ood_source_fallback(spark, sf_dir):
     """The first source is missing, so the second one is taken, unfiltered."""

@@ -1,6 +1,7 @@
 """From a gzipped CSV to the report, as a user would run it."""
 
 import gzip
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,8 +20,14 @@ from paritas.plans.evaluation import (
 )
 from paritas.plans.ood import run_ood
 from paritas.plans.reporting import run_compiled_predictions, run_report
-from paritas.sources.comments import comment_file, load_comments, read_comments, read_ood
-from paritas.sources.files import list_children
+from paritas.sources.comments import (
+    comment_file,
+    load_comments,
+    parse_comments,
+    read_comments,
+    read_ood,
+)
+from paritas.sources.files import file_numbers, list_children
 from paritas.sources.results import metric_file, prediction_file, read_metric_files
 from paritas.sources.splits import read_splits
 
@@ -217,5 +224,60 @@ def test_ids_of_a_table_without_them_stay(spark, root, tmp_path):
     assert read_ood(spark, [path], sample=1).count() == 1
 
 
+def test_ids_of_a_table_without_them_outlive_a_move(spark, root, tmp_path):
+    first, second = (str(tmp_path / name / "part of it") for name in ("here", "there"))
+    rows = spark.read.parquet(f"{root}/ood").drop("id").withColumn("half", F.col("generation") > "m")
+    rows.repartition(3).write.partitionBy("half").parquet(first)
+    shutil.copytree(first, second)
+    ids = [
+        {(r["id"], r["text"]) for r in read_ood(spark, [path]).collect()}
+        for path in (first, f"{second}/")
+    ]
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0]}) == len(ids[0])
+
+
+def test_files_have_numbers_of_their_own(spark):
+    paths = spark.range(200_000).selectExpr("concat('day=', id % 977, '/part-', id) AS path")
+    numbers = file_numbers(paths.union(paths))
+    found = numbers.agg(
+        F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.max("number").alias("m")
+    ).first()
+    assert tuple(found) == (200_000, 200_000, 199_999)
+    assert numbers.exceptAll(file_numbers(paths.orderBy("path"))).count() == 0
+
+
+def write_comments(tmp_path, lines):
+    with gzip.open(tmp_path / "train.csv.gz", "wt", encoding="utf-8") as file:
+        file.write("\n".join(["id,target,comment_text,asian", *lines]) + "\n")
+
+
+def test_malformed_comments(spark, tmp_path):
+    lines = [
+        '1,0.5,"two\nlines, ""quoted""",0.25',
+        "2,n/a,plain,NaN",
+        "3,0.5.1,two wrong,x",
+        "4,0.5",
+        '5,1e-1,"odd" quotes" here,',
+        "six,0.1,no id,0",
+        "7,0.2,too many,0.1,0.2,0.3",
+        "8, 0.75 ,blanks,1",
+    ]
+    write_comments(tmp_path, lines)
+    comments = parse_comments(spark, str(tmp_path))
+    rows = {r["id"]: tuple(r)[1:] for r in comments.rows.collect()}
+    assert rows.keys() == {1, 2, 5, 8}
+    assert rows[1] == ('two\nlines, "quoted"', 0.5, 0.25)
+    assert rows[2] == ("plain", None, None)
+    assert rows[5][1:] == (0.1, None) and rows[8][1:] == (0.75, 1.0)
+    bad = {tuple(r)[1:] for r in comments.quarantine.collect()}
+    assert bad == {
+        (2, "3", "target", "0.5.1"), (2, "3", "asian", "x"), (5, "six", "id", "six"),
+        (3, "4", None, "4,0.5"), (6, "7", None, "7,0.2,too many,0.1,0.2,0.3"),
+    }
+    with pytest.raises(ValueError, match="4 of 8 comments are malformed.*'record': 2"):
+        read_comments(spark, str(tmp_path))
+    assert read_comments(spark, str(tmp_path), tolerated=0.5).count() == 4
+
+
 def test_report_of_an_empty_folder_is_empty(spark, tmp_path):
     assert run_report(spark, str(tmp_path), MODELS).count() == 0
