@@ -704,6 +704,7 @@ FROM numbered GROUP BY folder""",
     "tokenize": _token_digest("words"),
     "tokenize_no_stopwords": _token_digest("kept"),
     "vocabulary_topk": _with(*TOKEN_CTES, select="SELECT term, tf FROM vocabulary"),
+    "vocabulary_sketched": _with(*TOKEN_CTES, select="SELECT term, tf FROM vocabulary"),
     "tfidf_idf": _with(
         *TOKEN_CTES, select="SELECT term, tf, df, round(idf, 6) AS idf FROM weights"
     ),

@@ -578,6 +578,14 @@ def vocabulary_topk(spark, sf_dir):
     )
 
 
+@query
+def vocabulary_sketched(spark, sf_dir):
+    """The same terms by a sample, exact counts of likely terms, and buckets of the rest."""
+    tokens = terms.document_tokens(_texts(spark, sf_dir))
+    kept = terms.corpus_vocabulary(tokens, classifier.VOCABULARY_SIZE, sketched=True)
+    return kept.select("term", "tf")
+
+
 @query
 def tfidf_idf(spark, sf_dir):
     kept = terms.vocabulary(_statistics(spark, sf_dir), classifier.VOCABULARY_SIZE)
@@ -632,7 +640,7 @@ GRADIENT_SHARE = 1e-3
 def _coefficients(spark, model):
     """(term, coefficient) of a pipeline's logistic regression; as many as the vocabulary."""
     values = model.stages[-1].coefficients.toArray().tolist()
-    rows = list(zip(model.stages[2].vocabulary, values, strict=True))
+    rows = list(zip(classifier.model_vocabulary(model.stages), values, strict=True))
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
@@ -666,7 +674,9 @@ def baseline_train_summary(spark, sf_dir):
     return data.train.agg(
         F.count(F.lit(1)).alias("n_train"),
         F.sum("is_toxic").alias("n_positive"),
-        F.lit(len(model.stages[2].vocabulary)).cast("bigint").alias("vocabulary_size"),
+        F.lit(len(classifier.model_vocabulary(model.stages))).cast("bigint").alias(
+            "vocabulary_size"
+        ),
         (largest <= F.lit(GRADIENT_SHARE * counts.total)).alias("gradient_small"),
     )
 

@@ -44,6 +44,18 @@ def without_stop_words(tokens: Column, stop_words: Iterable[str] = ENGLISH_STOP_
     return F.filter(tokens, lambda t: ~t.isin(*words)) if words else tokens
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def tokens_sql(column: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> str:
+    """:func:`tokenize` and :func:`without_stop_words` of a text column as SQL, for stages
+    that are saved as text; null has no tokens."""
+    tokens = f"regexp_extract_all(lower(coalesce({column}, '')), {_quoted(TOKEN_PATTERN)}, 0)"
+    words = ", ".join(map(_quoted, stop_words))
+    return f"filter({tokens}, t -> t NOT IN ({words}))" if words else tokens
+
+
 def zero_shot_prompt(text: Column) -> Column:
     """The whole text inside the question. Shortening a long text to a model's
     window is left to the model, so that the question itself is never cut off."""

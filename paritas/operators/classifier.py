@@ -13,20 +13,24 @@ from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
-    RegexTokenizer,
-    StopWordsRemover,
+    SQLTransformer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERN
-from paritas.operators.terms import document_tokens, term_statistics, vocabulary, with_idf
+from paritas.functions.text import ENGLISH_STOP_WORDS, tokens_sql
+from paritas.operators.terms import corpus_vocabulary, document_tokens, with_idf
 
 VOCABULARY_SIZE = 10_000
 MAX_ITERATIONS = 1_000
 
+# Bytes of vectors in one cached partition at most, and those that are worth a task in
+# each of the hundreds of passes; what a row and an entry take.
+PARTITION_BYTES, TASK_BYTES = 64 << 20, 4 << 20
+ROW_BYTES, ENTRY_BYTES = 100, 12
+
 
 class ClassCounts(NamedTuple):
     negative: int
@@ -54,27 +58,37 @@ def class_counts(df: DataFrame, label: str = "is_toxic") -> ClassCounts:
     return ClassCounts(row["negative"], row["positive"])
 
 
-def tfidf_stages(
+class Tfidf(NamedTuple):
+    """Fitted stages from text to vectors, and the entries all vectors have together."""
+
+    stages: list
+    entries: int
+
+
+def fit_tfidf(
     df: DataFrame,
     text: str = "comment_text",
     size: int = VOCABULARY_SIZE,
     stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
-) -> list:
+) -> Tfidf:
     """Fitted stages from text to L2-normalised TF-IDF vectors.
 
     The vocabulary, at most ``size`` terms with their idf, is what the model
-    consists of and is the only thing fetched. Spark ML's own idf lacks the
-    trailing one, so the weights are an element-wise product.
+    consists of and is the only thing fetched. One expression makes the tokens of the
+    vocabulary and of the vectors. Spark ML's own idf lacks the trailing one, so the
+    weights are an element-wise product.
     """
     words = list(stop_words)
-    texts = df.select(F.lit(0).alias("id"), text)
-    statistics = term_statistics(document_tokens(texts, text, "id", words), "id")
-    terms = with_idf(vocabulary(statistics, size), df).select("term", "idf", "tf")
-    rows = sorted(terms.collect(), key=lambda r: (-r["tf"], r["term"]))
-    tokenizer = RegexTokenizer(
-        inputCol=text, outputCol="_words", pattern=TOKEN_PATTERN, gaps=False
+    # Any id does that spreads: documents are counted one by one and only sampled by it.
+    texts = df.select(F.xxhash64(text).alias("id"), text)
+    found = corpus_vocabulary(document_tokens(texts, text, "id", words), size, "id")
+    rows = sorted(
+        with_idf(found, df).select("term", "idf", "tf", "df").collect(),
+        key=lambda r: (-r["tf"], r["term"]),
+    )
+    tokenizer = SQLTransformer(
+        statement=f"SELECT *, {tokens_sql(f'`{text}`', words)} AS _tokens FROM __THIS__"
     )
-    remover = StopWordsRemover(inputCol="_words", outputCol="_tokens", stopWords=words)
     counter = CountVectorizerModel.from_vocabulary(
         [r["term"] for r in rows], inputCol="_tokens", outputCol="_counts"
     )
@@ -84,7 +98,27 @@ def tfidf_stages(
         outputCol="_weighted",
     )
     normalizer = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
-    return [tokenizer, remover, counter, weigher, normalizer]
+    return Tfidf([tokenizer, counter, weigher, normalizer], sum(r["df"] for r in rows))
+
+
+def tfidf_stages(
+    df: DataFrame,
+    text: str = "comment_text",
+    size: int = VOCABULARY_SIZE,
+    stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
+) -> list:
+    """The stages of :func:`fit_tfidf`."""
+    return fit_tfidf(df, text, size, stop_words).stages
+
+
+def model_vocabulary(stages: Sequence) -> list[str]:
+    """The terms of a pipeline, in the order of its vectors' entries."""
+    return next(s.vocabulary for s in stages if isinstance(s, CountVectorizerModel))
+
+
+def text_column(stages: Sequence) -> str:
+    """The text column that a pipeline's first stage reads."""
+    return stages[0].getStatement().split("`")[1]
 
 
 def tfidf_weights(df: DataFrame, stages: list, id_col: str = "id") -> DataFrame:
@@ -95,34 +129,36 @@ def tfidf_weights(df: DataFrame, stages: list, id_col: str = "id") -> DataFrame:
         id_col, F.inline(F.arrays_zip(F.col("v.indices"), F.col("v.values")))
     )
     # The vocabulary as one constant array; a blank is never part of a term.
-    terms = F.split(F.lit(" ".join(stages[2].vocabulary)), " ")
+    terms = F.split(F.lit(" ".join(model_vocabulary(stages))), " ")
     return entries.select(
         id_col, F.get(terms, F.col("indices")).alias("term"), F.col("values").alias("weight")
     )
 
 
-def _gathered(vectors: DataFrame) -> DataFrame:
-    """Vectors over all cores, one partition each.
-
-    Every pass visits all partitions and one of its jobs is short, so there are no more
-    of them than run at once; vectors are small against the texts they come from.
-    """
-    return vectors.repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+def vector_partitions(spark: SparkSession, rows: int, entries: int) -> int:
+    """How many partitions to cache vectors in, by their bytes. A block of the cache has a
+    limit, so there are enough. Every pass is a job that visits all of them, so there are
+    no more than the session shuffles into unless the limit asks for it, and few vectors
+    are in few partitions, as a task would cost more than its share of the pass."""
+    size = rows * ROW_BYTES + entries * ENTRY_BYTES
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return max(1, spread, -(-size // PARTITION_BYTES))
 
 
 def weighted_features(
-    df: DataFrame, stages: list, counts: ClassCounts, label: str = "is_toxic"
+    df: DataFrame, tfidf: Tfidf, counts: ClassCounts, label: str = "is_toxic"
 ) -> DataFrame:
     """(features, label, weight) ready for repeated passes; the caller unpersists."""
     weight = F.when(
         F.col(label) == 1, F.lit(counts.total / (2.0 * max(counts.positive, 1)))
     ).otherwise(F.lit(counts.total / (2.0 * max(counts.negative, 1))))
     vectors = (
-        PipelineModel(stages)
+        PipelineModel(tfidf.stages)
         .transform(df)
         .select("features", F.col(label).cast("double").alias("label"), weight.alias("weight"))
     )
-    return _gathered(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = vector_partitions(df.sparkSession, counts.total, tfidf.entries)
+    return vectors.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_logistic(
@@ -164,19 +200,19 @@ def train_baseline(
     counts = class_counts(train, label)
     if not (counts.negative and counts.positive):
         raise ValueError("training needs rows of both classes")
-    stages = tfidf_stages(train, text, size, stop_words)
-    features = weighted_features(train, stages, counts, label)
+    tfidf = fit_tfidf(train, text, size, stop_words)
+    features = weighted_features(train, tfidf, counts, label)
     try:
         (model,) = fit_logistic(features, counts.total)
     finally:
         features.unpersist()
-    return PipelineModel([*stages, model])
+    return PipelineModel([*tfidf.stages, model])
 
 
 def score_baseline(model: PipelineModel, df: DataFrame, text: str | None = None) -> DataFrame:
     """Add ``score``, P(positive). ``text`` names the text column if it differs
     from the one the model was trained on."""
-    trained_on = model.stages[0].getInputCol()
+    trained_on = text_column(model.stages)
     source = df
     if text is not None and text != trained_on:
         source = source.withColumn(trained_on, F.col(text))

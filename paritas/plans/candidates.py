@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from paritas.operators.classifier import (
     class_counts,
+    fit_tfidf,
     fit_logistic,
-    tfidf_stages,
     weighted_features,
 )
 from paritas.operators.metrics import best_run, bias_metrics, with_active_groups
@@ -34,12 +34,12 @@ def train_candidates(
 ) -> dict[str, PipelineModel]:
     """One pipeline per penalty; texts are turned into vectors once for all."""
     counts = class_counts(train)
-    stages = tfidf_stages(train)
-    features = weighted_features(train, stages, counts)
+    tfidf = fit_tfidf(train)
+    features = weighted_features(train, tfidf, counts)
     try:
         models = fit_logistic(features, counts.total, penalties)
         return {
-            candidate_name(penalty): PipelineModel([*stages, model])
+            candidate_name(penalty): PipelineModel([*tfidf.stages, model])
             for penalty, model in zip(penalties, models, strict=True)
         }
     finally:

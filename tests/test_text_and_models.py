@@ -1,11 +1,17 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from paritas.checks.stubs import length_model, yes_no_model
 from paritas.functions.scores import logits_to_score, zero_shot_score
-from paritas.functions.text import ENGLISH_STOP_WORDS, tokenize, without_stop_words
+from paritas.functions.text import (
+    ENGLISH_STOP_WORDS,
+    tokenize,
+    tokens_sql,
+    without_stop_words,
+)
 from paritas.operators import classifier, terms
 from paritas.operators.scoring import score_texts, score_zero_shot
 from paritas.plans.candidates import run_candidates
@@ -161,3 +167,63 @@ def test_best_candidate_is_saved(spark, tmp_path):
     measured = run_candidates(prepared, ["asian"], path, penalties=(0.5, 5.0))
     assert {r["model"] for r in measured.collect()} == {"L2=0.5", "L2=5"}
     assert load_pipeline(spark, path).stages[-1].numFeatures > 0
+
+
+def corpus(spark, documents, words):
+    """Documents whose words follow a power law, so that few are frequent."""
+    row = "array_join(transform(sequence(1, 30), i -> concat('w', cast(pow(rand(7), 4) * {} as int))), ' ')"
+    return spark.range(documents).selectExpr("id", row.format(words) + " AS text").cache()
+
+
+@pytest.mark.parametrize(("size", "documents", "buckets"), [(50, 40, 64), (50, 2_000, 1 << 14), (5_000, 100, 8)])
+def test_sketched_vocabulary_is_exact(spark, size, documents, buckets):
+    """From a poor sample with few buckets, from all documents, and of more than there are."""
+    tokens = terms.document_tokens(corpus(spark, 2_000, 3_000))
+    found = terms.frequent_terms(tokens, size, documents=documents, buckets=buckets)
+    expected = terms.vocabulary(terms.term_statistics(tokens), size).collect()
+    assert terms.vocabulary(found, size).collect() == expected
+
+
+def test_sketch_shuffles_a_bounded_number_of_rows(spark):
+    """Unlikely terms leave a task as buckets, however many there are."""
+    tokens = terms.document_tokens(corpus(spark, 4_000, 1_000_000))
+    likely = spark.createDataFrame([("w0",), ("w1",)], "term string")
+    found = terms.bucketed_statistics(tokens, likely, buckets=100)
+    assert terms.term_statistics(tokens).count() > 10_000
+    rows = found.collect()
+    assert len(rows) == 102 and {r["term"] for r in rows if r["bucket"] is None} == {"w0", "w1"}
+    assert sum(r["tf"] for r in rows) == 4_000 * 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The one shuffle is of sums that each task has made by term or bucket.
+    keys = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan.split("Initial Plan")[0]))
+    assert len(keys) == 1 and "_known" in keys.pop()
+    assert "partial_sum(n" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_vocabulary_in_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    statistics = terms.term_statistics(terms.document_tokens(corpus(spark, 200, 500)))
+    expected = terms.vocabulary(statistics, 40).collect()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * terms.MERGED_PARTITIONS))
+        assert terms.vocabulary(statistics, 40).collect() == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tokens_of_the_pipeline_are_those_of_the_vocabulary(spark):
+    texts = ["I'll don't say: Ünïcode_1 a b2 über-all", "", None, "the THE x1\ty2 'quoted\\'"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for words in (ENGLISH_STOP_WORDS, ["don't", "b2", "back\\slash"], []):
+        plain = terms.document_tokens(df, "text", "id", words).orderBy("id").collect()
+        made = df.selectExpr("id", f"{tokens_sql('`text`', words)} AS tokens")
+        assert made.orderBy("id").collect() == plain
+
+
+def test_vectors_are_cached_by_their_bytes(spark):
+    assert classifier.vector_partitions(spark, 0, 0) == 1
+    assert classifier.vector_partitions(spark, 1_000, 10_000) == 1
+    assert classifier.vector_partitions(spark, 10_000, 1_000_000) == 4
+    assert classifier.vector_partitions(spark, 10_000, 10_000_000) == 8
+    parts = classifier.vector_partitions(spark, 10**9, 10**11)
+    assert 10**9 * 100 + 10**11 * 12 <= parts * classifier.PARTITION_BYTES
