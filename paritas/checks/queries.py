@@ -22,6 +22,7 @@ from paritas.functions.values import binary_prediction
 from paritas.operators import classifier, metrics, ood, ordering, prepare, report, split, terms
 from paritas.operators.scoring import score_texts, score_zero_shot
 from paritas.plans.candidates import candidate_metrics
+from paritas.plans.epochs import epoch_ranking, run_epochs
 from paritas.session import scratch_path, written
 from paritas.sources import comments as comment_source
 from paritas.sources import models as model_source
@@ -783,6 +784,39 @@ def baseline_ood_bias_metrics(spark, sf_dir):
     )
 
 
+@query
+def epoch_selection(spark, sf_dir):
+    """Training for one epoch, then resumed up to three: measured epochs, kept states, and
+    whether the model saved in the end is the best epoch's, by its own scores."""
+    run_dir = scratch_path(spark, "epochs")
+    prepared = _prepared(spark, sf_dir, True)
+    run_epochs(prepared, IDENTITIES, run_dir, epochs=1, seed=OTHER_SEED)
+    run = run_epochs(prepared, IDENTITIES, run_dir, epochs=3, seed=OTHER_SEED)
+    model = model_source.load_pipeline(spark, f"{run_dir}/model")
+    table = split.truncate_then_split(prepared, -1, seed=OTHER_SEED)
+    validation = table.where(F.col("split") == "validation")
+    scored = classifier.score_baseline(model, validation)
+    saved = metrics.bias_metrics(
+        written(
+            metrics.with_active_groups(scored, IDENTITIES).select(
+                F.lit("best").alias("model"), "id", "is_toxic", "score", "groups"
+            ),
+            "epoch-scores",
+        ),
+        [("best",)],
+        IDENTITIES,
+        ["model"],
+    ).where(F.col("ord") == 0)
+    best = epoch_ranking(run.history).agg(F.max("auc").alias("auc")).scalar()
+    same = F.max(F.abs(F.col("overall_auc") - best) < 1e-9)
+    return run.history.where(F.col("ord") == 0).agg(
+        F.count("epoch").alias("n_epochs"),
+        F.lit(run.kept.select(F.count("*")).scalar()).alias("n_kept"),
+        (F.min("overall_auc") > 0.5).alias("better_than_chance"),
+        saved.select(same.alias("same")).scalar().alias("saved_is_best"),
+    )
+
+
 @query
 def candidate_selection(spark, sf_dir):
     """Validation rows of every candidate, and whether the chosen one has the best AUC."""
