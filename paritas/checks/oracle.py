@@ -731,6 +731,7 @@ FROM products""",
 FROM prepared GROUP BY is_toxic""",
     ),
     "batch_scores": _prepared(f"id, round({_sigmoid(LENGTH_LOGIT)}, 6) AS score"),
+    "resumed_scores": _prepared(f"id, round({_sigmoid(LENGTH_LOGIT)}, 6) AS score"),
     "batch_bias_metrics": _stub_bias("length", LENGTH_LOGIT),
     "zero_shot_scores": _prepared(f"id, round({_sigmoid(YES_NO_LOGIT)}, 6) AS score"),
     "zero_shot_bias_metrics": _stub_bias("yes-no", YES_NO_LOGIT),

@@ -21,6 +21,7 @@ from paritas.functions.text import tokenize, without_stop_words, zero_shot_promp
 from paritas.functions.values import binary_prediction
 from paritas.operators import classifier, metrics, ood, ordering, prepare, report, split, terms
 from paritas.operators.scoring import score_texts, score_zero_shot
+from paritas.plans import evaluation
 from paritas.plans.candidates import candidate_metrics
 from paritas.plans.epochs import epoch_ranking, run_epochs
 from paritas.session import scratch_path, written
@@ -838,6 +839,22 @@ def batch_scores(spark, sf_dir):
     return scored.select("id", _rounded(F.col("score"), "score"))
 
 
+@query
+def resumed_scores(spark, sf_dir):
+    """Scoring in four fragments that ends after two, and goes on with another call."""
+    results = scratch_path(spark, "resumed")
+    texts = _prepared(spark, sf_dir).select("id", "comment_text")
+    table, fragments = evaluation.landed_fragments(
+        texts, "comment_text", results, -(-texts.count() // 4)
+    )
+    for at_most in (2, None):
+        evaluation.score_in_fragments(
+            table, fragments, fx.DATASET, fx.REGISTRY[1], length_model(), results, at_most=at_most
+        )
+    found = result_source.read_predictions(spark, f"{results}/predictions")
+    return found.select("id", _rounded(F.col("score"), "score"))
+
+
 @query
 def batch_bias_metrics(spark, sf_dir):
     scored = score_texts(_prepared(spark, sf_dir, True), length_model())

@@ -203,9 +203,10 @@ def with_display_names(
 
 
 def result_files(listing: DataFrame, file_col: str = "file") -> DataFrame:
-    """(file, safe_name, phase) of the metric tables in a listing of result files.
+    """(file, safe_name, phase, ...) of the metric tables in a listing of result files.
 
-    The ending tells the phase; reports, predictions and anything else are left out.
+    The ending tells the phase; reports, predictions and anything else are left out. Other
+    columns stay.
     """
     name = F.col(file_col)
     raw = F.regexp_extract(name, r"^(.*)_raw_metrics\.csv$", 1)
@@ -216,7 +217,8 @@ def result_files(listing: DataFrame, file_col: str = "file") -> DataFrame:
         .when(name.endswith("_finetuned_metrics.csv"), F.lit("finetuned"))
     )
     safe = F.when(phase == BASELINE, F.lit("Baseline")).when(phase == "raw", raw).otherwise(tuned)
-    return (
-        listing.select(name.alias("file"), safe.alias("safe_name"), phase.alias("phase"))
-        .where(F.col("phase").isNotNull())
+    others = [c for c in listing.columns if c != file_col]
+    named = listing.select(
+        name.alias("file"), safe.alias("safe_name"), phase.alias("phase"), *others
     )
+    return named.where(F.col("phase").isNotNull())

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,6 @@ from paritas.catalogue import (
     safe_name,
 )
 from paritas.operators.report import result_files, with_display_names
-from paritas.sources.files import list_children, path_exists
 
 METRIC_SCHEMA = T.StructType(
     [
@@ -87,28 +86,53 @@ def write_ood_metrics(metrics: DataFrame, folder: str, models: Sequence[ModelSpe
     _csv(public.coalesce(1), f"{folder}/ood_toxigen_metrics.csv")
 
 
-def _of_header(rows: DataFrame) -> DataFrame:
-    """The metric columns of one CSV, found by their headers; one it lacks is null."""
-    return rows.select(
-        *[
-            (F.col(f"`{header}`") if header in rows.columns else F.lit(None))
-            .cast(field.dataType)
-            .alias(field.name)
-            for field in METRIC_SCHEMA.fields
-            for header in [METRIC_HEADERS[field.name]]
-        ],
-        F.monotonically_increasing_id().alias("line"),
+#: Split at commas outside of quotes.
+_FIELDS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _unquoted(field: Column) -> Column:
+    """A CSV field without its quotes."""
+    inner = F.substring(field, F.lit(2), F.length(field) - 2)
+    quoted = F.startswith(field, F.lit('"')) & F.endswith(field, F.lit('"'))
+    return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
+
+
+def _metric_texts(read: DataFrame, folder: str) -> DataFrame:
+    """(file, part, value): the whole texts of a folder's files. ``file`` is the entry of
+    the folder, which may itself be a folder of parts."""
+    part = F.url_decode("_metadata.file_path")
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.substring_index(part, f"/{root}/", -1)
+    return read.select(F.substring_index(inside, "/", 1).alias("file"), part.alias("part"), "value")
+
+
+def _metric_lines(texts: DataFrame) -> DataFrame:
+    """Lines of CSV files as (..., ord, fields), each a map from its file's headers to its
+    fields. A file is a metric table, so its lines are few: one per identity."""
+    others = [c for c in texts.columns if c not in ("part", "value")]
+    lines = texts.select(
+        *others, "part", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")
+    ).where(F.col("value") != "")
+    split = F.transform(F.split("value", _FIELDS), _unquoted)
+    in_part = Window.partitionBy("part").orderBy("line")
+    in_file = Window.partitionBy("file").orderBy("part", "line")
+    return (
+        lines.withColumn("fields", split)
+        .withColumn("header", F.first("fields").over(in_part))
+        .withColumn("head", F.min("line").over(in_part))
+        .where(F.col("line") > F.col("head"))
+        .withColumn("ord", (F.row_number().over(in_file) - 1).cast("long"))
+        .select(*others, "ord", F.map_from_arrays("header", "fields").alias("fields"))
     )
 
 
 def read_metric_files(spark: SparkSession, folder: str, models: Sequence[str]) -> DataFrame:
     """(model, ord, identity, total_examples, metrics) of all metric CSVs in a folder.
 
-    The model and its phase come from the file name; other files are not read. Each file's
-    columns are taken by its own header, as some have more than others; there are as many
-    files as models. The position of an identity is that in its file.
+    The model and its phase come from the file name; other files are not used. All files
+    are read in one scan and each file's columns are taken by its own header, as some have
+    more than others. The position of an identity is that in its file.
     """
-    found = list_children(spark, folder) if path_exists(spark, folder) else None
     schema = T.StructType(
         [
             T.StructField("model", T.StringType()),
@@ -116,38 +140,37 @@ def read_metric_files(spark: SparkSession, folder: str, models: Sequence[str]) -
             *METRIC_SCHEMA.fields,
         ]
     )
-    if found is None:
+    try:
+        read = spark.read.text(f"{folder.rstrip('/')}/*_metrics.csv", wholetext=True)
+    except AnalysisException:
         return spark.createDataFrame([], schema)
-    files = with_display_names(result_files(found.withColumnRenamed("entry", "file")), models)
+    texts = result_files(_metric_texts(read, folder))
+    lines = with_display_names(_metric_lines(texts), models)
     suffix = (
         F.when(F.col("phase") == BASELINE, F.lit(""))
         .when(F.col("phase") == FINETUNED, F.lit(" Finetuned"))
         .otherwise(F.lit(" Raw"))
     )
-    listed = files.select("file", F.concat("model", suffix).alias("model")).orderBy("model")
-    in_file = Window.partitionBy(F.lit(0)).orderBy("line")  # a file has a row per identity
-    tables = [
-        _of_header(
-            spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{row['file']}")
-        ).select(
-            F.lit(row["model"]).alias("model"),
-            (F.row_number().over(in_file) - 1).cast("long").alias("ord"),
-            *METRIC_SCHEMA.names,
-        )
-        for row in listed.collect()
-    ]
-    return reduce(DataFrame.unionByName, tables, spark.createDataFrame([], schema))
+    value = {
+        field.name: F.nullif(F.try_element_at("fields", F.lit(METRIC_HEADERS[field.name])), F.lit(""))
+        for field in METRIC_SCHEMA.fields
+    }
+    return lines.select(
+        F.concat("model", suffix).alias("model"),
+        "ord",
+        *[value[field.name].cast(field.dataType).alias(field.name) for field in METRIC_SCHEMA.fields],
+    )
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
+def write_predictions(predictions: DataFrame, path: str, append: bool = False) -> None:
     """(dataset, model, id, score) as Parquet, one folder per data set and model.
 
-    Only the folders in ``predictions`` are replaced, so models can be scored one by
-    one; counting a model's predictions reads no column.
+    Only the folders in ``predictions`` are replaced, or added to, so models can be scored
+    one by one; counting a model's predictions reads no column.
     """
     (
         predictions.select("dataset", "model", "id", F.col("score").cast("double").alias("score"))
-        .write.mode("overwrite")
+        .write.mode("append" if append else "overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset", "model")
         .parquet(path)

@@ -6,7 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from paritas.catalogue import FINETUNED, RAW, ZERO_SHOT, ModelSpec
+from paritas.catalogue import FINETUNED, RAW, ZERO_SHOT, ModelSpec, safe_name
 from paritas.checks import fixtures as fx
 from paritas.checks.stubs import length_model, yes_no_model
 from paritas.plans.data import run_data
@@ -17,6 +17,7 @@ from paritas.plans.evaluation import (
     run_finetuned,
     run_models,
     skip_if_done,
+    write_model_scores,
 )
 from paritas.plans.ood import run_ood
 from paritas.plans.reporting import run_compiled_predictions, run_report
@@ -28,7 +29,13 @@ from paritas.sources.comments import (
     read_ood,
 )
 from paritas.sources.files import file_numbers, list_children
-from paritas.sources.results import metric_file, prediction_file, read_metric_files
+from paritas.sources.results import (
+    metric_file,
+    prediction_file,
+    read_metric_files,
+    read_predictions,
+    write_predictions,
+)
 from paritas.sources.splits import read_splits
 
 RAW_MODEL = ModelSpec("org/tiny", RAW)
@@ -279,5 +286,98 @@ def test_malformed_comments(spark, tmp_path):
     assert read_comments(spark, str(tmp_path), tolerated=0.5).count() == 4
 
 
+def counting_model(log, poison=None):
+    """Length logits; writes down how many texts it has seen, and fails at ``poison`` unless
+    the log says it has failed before."""
+
+    def make():
+        import os
+
+        inner = length_model()()
+
+        def predict(texts):
+            if poison in texts.ravel() and not os.path.exists(f"{log}.failed"):
+                open(f"{log}.failed", "w").close()
+                raise RuntimeError("lost")
+            with open(log, "a") as out:
+                out.write(f"{len(texts)}\n")
+            return inner(texts)
+
+        return predict
+
+    return make
+
+
+def test_a_lost_scoring_job_goes_on_with_the_rest(spark, tmp_path):
+    results, log = str(tmp_path / "results"), str(tmp_path / "log")
+    df = spark.range(400).selectExpr("id", "concat('text ', repeat('x', int(id % 50))) AS comment_text")
+    df = df.withColumn("comment_text", F.when(F.col("id") == 123, "poison").otherwise(F.col("comment_text")))
+    model = {RAW_MODEL: counting_model(log, "poison")}
+
+    def seen():
+        return sum(map(int, open(log).read().split()))
+
+    def scores():
+        return read_predictions(spark, f"{results}/predictions")
+
+    assert write_model_scores(df, "Jigsaw", model, results, rows_per_fragment=50) == []
+    first, committed = seen(), scores().count()
+    assert 0 < committed < 400 and committed <= first
+    assert write_model_scores(df, "Jigsaw", model, results, rows_per_fragment=50) == [RAW_MODEL]
+    # Only what was not committed is scored by the second call.
+    assert seen() - first == 400 - committed
+    assert scores().count() == scores().select("id").distinct().count() == 400
+    # Rows whose manifest entry was lost are not scored twice.
+    manifest = f"{results}/manifest/Jigsaw/{safe_name(RAW_MODEL.key)}"
+    spark.createDataFrame([(-1, 8), *[(k, 8) for k in range(5)]], "fragment int, fragments int").write.mode(
+        "overwrite"
+    ).parquet(manifest)
+    before = seen()
+    assert write_model_scores(df, "Jigsaw", model, results, rows_per_fragment=50) == [RAW_MODEL]
+    assert seen() == before and scores().count() == 400
+    # A finished model starts over, and other rows are landed anew.
+    fewer = df.where("id < 300")
+    assert write_model_scores(fewer, "Jigsaw", model, results, rows_per_fragment=50) == [RAW_MODEL]
+    assert scores().count() == 300
+
+
+def test_two_predictions_for_a_text_are_not_exported(spark, tmp_path):
+    results = str(tmp_path / "results")
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "id long, comment_text string")
+    rows = [("Jigsaw", RAW_MODEL.key, i, 0.5) for i in (1, 2, 2)]
+    rows += [("Jigsaw", TUNED.key, i, 0.5) for i in (1, 2)]
+    schema = "dataset string, model string, id long, score double"
+    write_predictions(spark.createDataFrame(rows, schema), f"{results}/predictions")
+    export_predictions(texts, "Jigsaw", results, [RAW_MODEL, TUNED])
+    found = {r["entry"] for r in list_children(spark, results).collect()}
+    assert found == {"predictions", prediction_file(TUNED)}
+
+
+def test_out_of_domain_without_a_working_model(spark, root, tmp_path):
+    results = str(tmp_path / "results")
+    found = run_ood(spark, [f"{root}/ood"], results, {BROKEN: broken_model()})
+    assert found.count() == 0 and "overall_auc" in found.columns
+
+
+def test_metric_files_are_one_scan(spark, tmp_path):
+    """Quoted names, columns in another order, missing ones, parts, and other files."""
+    folder = tmp_path / "results"
+    (folder / "b_raw_metrics.csv").mkdir(parents=True)
+    header = "Identity,Total Examples,1. Overall AUC\n"
+    (folder / "a_raw_metrics.csv").write_text(header + '"x, ""y""",3,0.5\nz,,\n')
+    (folder / "b_raw_metrics.csv" / "part-0.csv").write_text("1. Overall AUC,Identity\n0.25,x\n")
+    (folder / "b_raw_metrics.csv" / "part-1.csv").write_text("1. Overall AUC,Identity\n0.75,z\n")
+    (folder / "final_report.csv").write_text("no,metrics\n1,2\n")
+    found = read_metric_files(spark, str(folder), ["a", "b"])
+    rows = [tuple(r)[:5] for r in found.orderBy("model", "ord").collect()]
+    assert rows == [
+        ("a Raw", 0, 'x, "y"', 3, 0.5), ("a Raw", 1, "z", None, None),
+        ("b Raw", 0, "x", None, 0.25), ("b Raw", 1, "z", None, 0.75),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    assert read_metric_files(spark, str(tmp_path / "nothing"), ["a"]).count() == 0
+
+
 def test_report_of_an_empty_folder_is_empty(spark, tmp_path):
     assert run_report(spark, str(tmp_path), MODELS).count() == 0

@@ -13,7 +13,7 @@ from paritas.functions.text import (
     without_stop_words,
 )
 from paritas.operators import classifier, terms
-from paritas.operators.scoring import score_texts, score_zero_shot
+from paritas.operators.scoring import by_length, padding, score_texts, score_zero_shot
 from paritas.plans.candidates import run_candidates
 from paritas.sources.models import load_pipeline, model_paths, save_pipeline
 
@@ -227,3 +227,19 @@ def test_vectors_are_cached_by_their_bytes(spark):
     assert classifier.vector_partitions(spark, 10_000, 10_000_000) == 8
     parts = classifier.vector_partitions(spark, 10**9, 10**11)
     assert 10**9 * 100 + 10**11 * 12 <= parts * classifier.PARTITION_BYTES
+
+
+def test_batches_by_length_pad_less(spark):
+    """The same rows and scores, no shuffle, and next to no padding."""
+    df = spark.range(2_000, numPartitions=4).selectExpr(
+        "id", "IF(id % 100 = 7, NULL, repeat('x', int(id * 7919 % 400))) AS comment_text"
+    )
+    sorted_rows = by_length(df, F.col("comment_text"))
+    assert sorted_rows.exceptAll(df).count() == 0 == df.exceptAll(sorted_rows).count()
+    before, after = (padding(rows).first() for rows in (df, sorted_rows))
+    assert before["characters"] == after["characters"] < after["padded"]
+    assert before["padded"] > 1.8 * before["characters"]
+    assert after["padded"] < 1.2 * after["characters"]
+    scored = score_texts(df, length_model())
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.columns == [*df.columns, "score"]
