@@ -342,17 +342,21 @@ def _prints(ids: np.ndarray, ranges: np.ndarray) -> np.ndarray:
 
 
 def round_trip(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """(doc_id, n_pieces, n_bytes, pieces_print, round_trip) of every document: how many
-    pieces and bytes, a hash of the ids, and whether decoding returns the text."""
+    """(doc_id, pieces, n_pieces, n_bytes, pieces_print, round_trip) of every document: its
+    ids, how many, the bytes of its text, a hash of the ids, and whether decoding them
+    returns the text. A null text has null for ids."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def make(piece: texts.Slice, null: pa.Array) -> list[pa.Array]:
         ids, ranges, same = _checked(piece, shared.value)
         counts = [np.diff(ranges), np.diff(piece.offsets), _prints(ids, ranges)]
-        return [*(pa.array(c, pa.int64()) for c in counts), pa.array(same)]
+        sizes = (pa.array(c, pa.int64()) for c in counts)
+        return [_lists(ids, ranges, null), *sizes, pa.array(same)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "n_pieces long, n_bytes long, pieces_print long, round_trip boolean"
+    schema = (
+        "pieces array<int>, n_pieces long, n_bytes long, pieces_print long, round_trip boolean"
+    )
     return _with_columns(rows, schema, "text", make).drop("text")
 
 

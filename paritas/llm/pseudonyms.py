@@ -20,9 +20,16 @@ stay as they are. Rows keep all their columns; repeated rows are treated alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
+#: Setting of the session that names the secret key, and the key of sessions without it.
+#: That one is public: whoever reads it can take the pseudonyms back.
+KEY_SETTING = "spark.paritas.pseudonyms.key"
 KEY = "set a secret key in production"
 #: Rounds of the network; an even number.
 ROUNDS = 6
@@ -481,6 +488,14 @@ _KINDS = (
 )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key; without one, the public key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        log.warning("%s is not set, pseudonyms are made with a public key", KEY_SETTING)
+    return key or KEY
+
+
 def pseudonym(finding: Column, key: str = KEY, back: bool = False) -> Column:
     """The pseudonym of one finding; what fails the checks of its kind stays."""
     first, rest = _KINDS[0], _KINDS[1:]
@@ -491,10 +506,12 @@ def pseudonym(finding: Column, key: str = KEY, back: bool = False) -> Column:
 
 
 def pseudonymised(
-    docs: DataFrame, column: str = "text", key: str = KEY, back: bool = False
+    docs: DataFrame, column: str = "text", key: str | None = None, back: bool = False
 ) -> DataFrame:
     """The table with every finding in ``column`` replaced by its pseudonym, or, with
-    ``back``, every pseudonym by what it stands for."""
+    ``back``, every pseudonym by what it stands for. The key is the session's unless one
+    is given."""
+    key = key or session_key(docs.sparkSession)
     text = F.col(column)
     found = F.array_append(F.regexp_extract_all(text, F.lit(FINDING), F.lit(0)), F.lit(""))
 

@@ -105,6 +105,10 @@ def test_columns_with_nulls_and_repeats(spark, model):
     assert [r.pieces is None for r in spelt] == [v is None for v in values]
     rows = P.round_trip(df, model).collect()
     assert all(r.round_trip for r in rows) and len(rows) == len(values)
+    assert all(len(r.pieces or []) == r.n_pieces for r in rows)
+    made = P.with_text(P.with_pieces(df, model), model, name="back").select("pieces", "back")
+    expected = sorted((r.pieces for r in made.collect()), key=repr)
+    assert sorted((r.pieces for r in rows), key=repr) == expected
     assert P.round_trip(df.limit(0), model).count() == 0
 
 

@@ -192,3 +192,17 @@ def test_rows_of_numbers_stay_unless_they_pass_the_check(spark):
     assert out[2].startswith("2019 ") and luhn(out[3].replace(" ", "")) == 0
     assert luhn(out[4].replace(" ", "")) == luhn(out[5]) == luhn(cards[3])
     assert mapped(spark, out, back=True) == plain_rows + cards
+
+
+def test_the_key_is_the_sessions(spark, caplog):
+    docs = spark.createDataFrame([(1, "card 4111111111111111")], "doc_id long, text string")
+    public = P.pseudonymised(docs).first().text
+    assert "public key" in caplog.text
+    spark.conf.set(P.KEY_SETTING, "of this session")
+    try:
+        own = P.pseudonymised(docs)
+        assert own.first().text != public
+        assert own.first().text == P.pseudonymised(docs, key="of this session").first().text
+        assert P.pseudonymised(own, back=True).first().text == docs.first().text
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
