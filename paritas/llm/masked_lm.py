@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood: how well a bidirectional window network, trained here on all
 documents, predicts every token of a text from the tokens on both sides of it.
 
-Tokens are the ``FREQUENT`` most frequent words of all documents, A-Z lowered; other words
-are one of ``OTHERS`` classes by length and shape; the text's ends have a token too. The
-network embeds the token before and the token after, adds both, passes a tanh layer and a
-softmax. What it learns from are the counts of all triples (before, token, after) in all
-documents, which Spark adds up; a count is all the network ever sees of a triple, so
-training on the counts is training on every token of the corpus. The tables are bounded
-by the vocabulary, never by the data.
-
-With a window of one on each side a context is a pair of tokens, so the trained network
-is evaluated once for all contexts; a task then scores every token of every document by
-one look-up. A text's score is the sum of its tokens' log-probabilities.
+The softmax is factored by class. The ``FREQUENT`` most frequent words of all documents, A-Z
+lowered, are classes of their own; every other word belongs to one of ``OTHERS`` classes by
+length and ending; the text's ends are a class too. The network embeds the class before and
+the class after, adds both, passes a tanh layer and a softmax over classes. What it learns
+from are the counts of all triples (before, class, after) in all documents, which Spark adds
+up, so training on the counts is training on every token of the corpus. With a window of one
+on each side a context is a pair of classes, so the trained network is evaluated once for all
+contexts and looked up.
+
+The second factor, a word within its class, covers every word of the corpus: it comes from
+``word_counts``, which counts words and their neighbours in all documents and grows with
+them. A token's own occurrence is left out of those counts, so a text is never explained by
+itself, but by other places that say the same. A text's score is the sum of its tokens'
+log-probabilities.
 
 Null and empty texts have no token: sum 0, mean null. Repeated rows count and are scored
 each. An empty table has an empty result. Extra columns are ignored.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm import texts
+from paritas.llm import texts, word_counts
 from paritas.session import written
 
 FREQUENT = 224
@@ -47,7 +50,8 @@ PARTS = 64
 
 @dataclass(frozen=True)
 class Network:
-    """The words by sorted hash with their tokens, and the weights."""
+    """The frequent words by sorted hash with their tokens, the weights, and how many tokens
+    and different words each of the other classes has."""
 
     hashes: np.ndarray
     tokens: np.ndarray
@@ -56,6 +60,13 @@ class Network:
     bias: np.ndarray
     output: np.ndarray
     prior: np.ndarray
+    class_tokens: np.ndarray
+    class_words: np.ndarray
+
+    @property
+    def vocabulary(self) -> int:
+        """Words with a probability of their own."""
+        return len(self.hashes) + int(self.class_words.sum())
 
 
 def _words(piece: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +74,7 @@ def _words(piece: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = texts.lowered(piece.data)
     starts, ends, ranges = texts.words(data, piece.offsets)
     length = np.minimum(ends - starts, 10)
-    last = piece.data[ends - 1]
+    last = data[ends - 1]
     plain = ((last >= ord("a")) & (last <= ord("z"))) | (last >= 128)
     kind = np.where(plain, 0, np.where(last == ord("."), 1, 2))
     shape = (length - 1) * 3 + kind
@@ -73,45 +84,76 @@ def _words(piece: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts: the distinct words of up to ``FLUSH`` words at a time."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        word, count = np.unique(np.concatenate(held), return_counts=True)
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        word, first, count = np.unique(
+            np.concatenate([word for word, _ in held]), return_index=True, return_counts=True
+        )
+        shape = np.concatenate([shape for _, shape in held])[first]
         return pa.record_batch(
-            [pa.array(word.view(np.int64)), pa.array(count)], names=["word", "n"]
+            [pa.array(word.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(count)],
+            names=["word", "shape", "n"],
         )
 
-    held: list[np.ndarray] = []
+    held: list[tuple] = []
     for batch in batches:
         for piece in texts.slices(batch["text"]):
-            held.append(_words(piece)[0])
-            if sum(map(len, held)) >= FLUSH:
+            held.append(_words(piece)[:2])
+            if sum(len(word) for word, _ in held) >= FLUSH:
                 yield flush(held)
                 held = []
     if held:
         yield flush(held)
 
 
-def frequent_words(docs: DataFrame, count: int = FREQUENT) -> np.ndarray:
-    """The hashes of the most frequent words of all documents, most frequent first."""
-    counts = docs.select("text").mapInArrow(_counted_words, "word long, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    return np.array([row.word for row in top.limit(count).collect()], np.int64).view(np.uint64)
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, shape, n): the hash, class and count of every word of all documents."""
+    counts = docs.select("text").mapInArrow(_counted_words, "word long, shape int, n long")
+    return counts.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
-def tokenised(
-    piece: texts.Slice, hashes: np.ndarray, tokens: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of a slice's texts, the one before and after each, and each text's range."""
-    word, shape, ranges = _words(piece)
+def classes(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the most frequent words, most frequent first, and how many tokens and
+    different words are left in each of the other classes."""
+    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    sums = words.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    tokens, distinct = np.zeros(OTHERS, np.int64), np.zeros(OTHERS, np.int64)
+    for row in sums.collect():
+        tokens[row["shape"]], distinct[row["shape"]] = row["n"], row["words"]
+    for row in top:
+        tokens[row["shape"]] -= row["n"]
+        distinct[row["shape"]] -= 1
+    hashes = np.array([row["word"] for row in top], np.int64).view(np.uint64)
+    return hashes, tokens, distinct
+
+
+def classified(
+    word: np.ndarray, shape: np.ndarray, hashes: np.ndarray, tokens: np.ndarray
+) -> np.ndarray:
+    """The class of every word."""
     token = FREQUENT + shape
     if len(hashes):
         at = np.searchsorted(hashes, word)
         at[at == len(hashes)] = 0
         token = np.where(hashes[at] == word, tokens[at], token)
+    return token
+
+
+def tokenised(
+    piece: texts.Slice, hashes: np.ndarray, tokens: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a slice's texts, the one before and after each, and each text's range."""
+    word, shape, ranges = _words(piece)
+    token = classified(word, shape, hashes, tokens)
+    return token, *neighbours(token, ranges), ranges
+
+
+def neighbours(token: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before and the token after each, or the end's."""
     before, after = np.roll(token, 1), np.roll(token, -1)
     full = np.diff(ranges) > 0
     before[ranges[:-1][full]] = TOKENS - 1
     after[ranges[1:][full] - 1] = TOKENS - 1
-    return token, before, after, ranges
+    return before, after
 
 
 def _counted_triples(hashes: np.ndarray, tokens: np.ndarray):
@@ -213,13 +255,14 @@ def train(keys: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def fit(docs: DataFrame) -> Network:
     """A network trained on the tokens of all documents."""
-    word = frequent_words(docs)
+    word, class_tokens, class_words = classes(written(vocabulary(docs), "vocabulary"))
     order = np.argsort(word, kind="stable")
     hashes, tokens = word[order], order.astype(np.int64)
     counted = written(triples(docs, hashes, tokens), "triples").toArrow()
     order = np.argsort(counted["key"].to_numpy(), kind="stable")
     keys = counted["key"].to_numpy()[order].astype(np.int64)
-    return Network(hashes, tokens, *train(keys, counted["n"].to_numpy()[order]))
+    weights = train(keys, counted["n"].to_numpy()[order])
+    return Network(hashes, tokens, *weights, class_tokens, class_words)
 
 
 def log_table(network: Network) -> np.ndarray:
@@ -232,31 +275,55 @@ def log_table(network: Network) -> np.ndarray:
     return out
 
 
-def log_likelihoods(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole text."""
+def log_likelihoods(
+    docs: DataFrame, network: Network, corpus: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole text.
+
+    Words and neighbours are counted in ``corpus``, or in ``docs`` themselves, each token
+    without its own occurrence. ``docs`` is read twice and must be a table that gives the
+    same rows in the same order, such as a stored one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    own = 1 if corpus is None else 0
+
+    def rare(piece: texts.Slice) -> word_counts.Classed:
+        word, shape, ranges = _words(piece)
+        token = classified(word, shape, shared.value.hashes, shared.value.tokens)
+        return word_counts.Classed(word, token, ranges, token >= FREQUENT)
+
+    tables: dict[str, np.ndarray] = {}
+
+    def scored(
+        ids: pa.Array, found: word_counts.Classed, seen: word_counts.Seen
+    ) -> pa.RecordBatch:
+        if "log" not in tables:
+            tables["log"] = log_table(shared.value)
+        before, after = neighbours(found.token, found.ranges)
+        chance = tables["log"][before * TOKENS + after, found.token].astype(np.float64)
+        group = found.token[found.rare] - FREQUENT
+        class_tokens = shared.value.class_tokens[group]
+        class_words = shared.value.class_words[group]
+        chance[found.rare] += np.log(
+            word_counts.within_class(seen, class_tokens, class_words, own)
+        )
+        size = np.diff(found.ranges)
+        total = texts.totals(chance, found.ranges)
+        return pa.record_batch(
+            [
+                ids,
+                pa.array(size, pa.int64()),
+                pa.array(total),
+                pa.array(total / np.maximum(size, 1), mask=size == 0),
+            ],
+            names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+        )
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = log_table(shared.value)
-        for batch in batches:
-            for piece in texts.slices(batch["text"]):
-                token, before, after, ranges = tokenised(
-                    piece, shared.value.hashes, shared.value.tokens
-                )
-                chance = table[before * TOKENS + after, token].astype(np.float64)
-                size = np.diff(ranges)
-                total = texts.totals(chance, ranges)
-                mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-                yield pa.record_batch(
-                    [
-                        batch["doc_id"].slice(piece.first, piece.rows),
-                        pa.array(size, pa.int64()),
-                        pa.array(total),
-                        mean,
-                    ],
-                    names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scored, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    return word_counts.with_counts(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
+        corpus,
+        rare,
+        scored,
+        "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double",
+        int(network.class_tokens.sum()),
     )
