@@ -276,7 +276,10 @@ def log_table(network: Network) -> np.ndarray:
 
 
 def log_likelihoods(
-    docs: DataFrame, network: Network, corpus: DataFrame | None = None
+    docs: DataFrame,
+    network: Network,
+    corpus: DataFrame | None = None,
+    chunk_bytes: int = word_counts.CHUNK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole text.
 
@@ -326,4 +329,5 @@ def log_likelihoods(
         scored,
         "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double",
         int(network.class_tokens.sum()),
+        chunk_bytes,
     )

@@ -7,8 +7,8 @@ sent and answers each of them. The answers meet their chunk's texts again, in on
 chunk. What travels are packed hashes, once per chunk, so a pair that stands in every line is
 one key of a chunk like any other; texts travel once.
 
-A key is known by its part and 32 more bits. A part holds ``PART_KEYS`` keys or so at every
-size of the corpus, so about one key in 2,000 shares its count with another.
+A key is known by its part and 40 more bits. A part holds ``PART_KEYS`` keys or so at every
+size of the corpus, so about one key in 500,000 shares its count with another.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from paritas.llm import texts
 CHUNK_BYTES = 3 << 20
 #: Keys a part is meant for.
 PART_KEYS = 1 << 21
+#: Bytes of a key besides its part.
+KEY_BYTES = 5
 #: Occurrences of a neighbour that weigh as much as the class alone.
 STRENGTH = 2.0
 #: What stands before the first and after the last word.
@@ -94,14 +96,16 @@ def keys(found: Classed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, 3 * len(rare) + place[at - 1], 3 * len(rare) + place[at]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+def _chunks(
+    batches: Iterator[pa.RecordBatch], limit: int
+) -> Iterator[tuple[int, pa.Table]]:
     """Consecutive whole rows in chunks, with a number that is the same at every reading."""
     number = TaskContext.get().partitionId() << 32
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for piece in texts.slices(batch["text"], CHUNK_BYTES):
-            if held and size + len(piece.data) > CHUNK_BYTES:
+        for piece in texts.slices(batch["text"], limit):
+            if held and size + len(piece.data) > limit:
                 yield number, pa.Table.from_batches(held)
                 number, held, size = number + 1, [], 0
             held.append(batch.slice(piece.first, piece.rows))
@@ -128,12 +132,14 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _asking(classed: Callable, bits: int, chunked: bool, counted: bool) -> Callable:
+def _asking(
+    classed: Callable, bits: int, chunk_bytes: int, chunked: bool, counted: bool
+) -> Callable:
     """What each chunk asks of each part, and what it adds to it. Chunks that are not scored
     ask nothing and have no number."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk in _chunks(batches):
+        for number, chunk in _chunks(batches, chunk_bytes):
             wanted, n = np.unique(keys(classed(_piece(chunk["text"])))[0], return_counts=True)
             if not counted:
                 n = np.zeros_like(n)
@@ -141,12 +147,12 @@ def _asking(classed: Callable, bits: int, chunked: bool, counted: bool) -> Calla
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
             used = np.flatnonzero(np.diff(cuts))
             spans = [slice(cuts[p], cuts[p + 1]) for p in used]
-            short = (wanted << np.uint64(bits)) >> np.uint64(32)
+            short = (wanted << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
             yield pa.record_batch(
                 [
                     pa.array([number if chunked else None] * len(used), pa.int64()),
                     pa.array(used, pa.int32()),
-                    pa.array([_packed(short[s], 4) for s in spans], pa.binary()),
+                    pa.array([_packed(short[s], KEY_BYTES) for s in spans], pa.binary()),
                     pa.array([_packed(n[s].astype(np.uint64), 8) for s in spans], pa.binary()),
                 ],
                 names=["chunk", "part", "keys", "counts"],
@@ -157,7 +163,7 @@ def _asking(classed: Callable, bits: int, chunked: bool, counted: bool) -> Calla
 
 def _answered(table: pa.Table) -> pa.Table:
     """The totals of one part, for each chunk that asks in its order."""
-    asked = [_unpacked(value.as_py(), 4).astype(np.uint32) for value in table["keys"]]
+    asked = [_unpacked(value.as_py(), KEY_BYTES) for value in table["keys"]]
     counts = np.concatenate([_unpacked(value.as_py(), 8) for value in table["counts"]])
     _, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.zeros(place.max() + 1, np.uint64)
@@ -174,16 +180,20 @@ def _answered(table: pa.Table) -> pa.Table:
     return out.filter(out["chunk"].is_valid())
 
 
-def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _carrying(chunk_bytes: int) -> Callable:
     """The rows of each chunk in one value."""
-    for number, chunk in _chunks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, chunk.schema) as out:
-            out.write_table(chunk)
-        data = sink.getvalue().to_pybytes()
-        yield pa.record_batch(
-            [pa.array([number]), pa.array([data], pa.binary())], names=["chunk", "rows"]
-        )
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in _chunks(batches, chunk_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, chunk.schema) as out:
+                out.write_table(chunk)
+            data = sink.getvalue().to_pybytes()
+            yield pa.record_batch(
+                [pa.array([number]), pa.array([data], pa.binary())], names=["chunk", "rows"]
+            )
+
+    return carry
 
 
 def with_counts(
@@ -193,19 +203,20 @@ def with_counts(
     scored: Callable[[pa.Array, Classed, Seen], pa.RecordBatch],
     schema: str,
     tokens: int,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``scored`` of every chunk of ``docs`` (doc_id, text), given what the whole ``corpus``,
     by default ``docs``, says about its words. ``tokens`` is the number of rare tokens."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, 3 * tokens // PART_KEYS)
-    bits = min(32, max(1, (parts - 1).bit_length()))
+    bits = min(64 - 8 * KEY_BYTES, max(1, (parts - 1).bit_length()))
 
-    asked = docs.mapInArrow(_asking(classed, bits, True, corpus is None), ASKED)
+    asked = docs.mapInArrow(_asking(classed, bits, chunk_bytes, True, corpus is None), ASKED)
     if corpus is not None:
         told = corpus.select(F.lit(None).cast("long").alias("doc_id"), "text")
-        asked = asked.union(told.mapInArrow(_asking(classed, bits, False, True), ASKED))
+        asked = asked.union(told.mapInArrow(_asking(classed, bits, chunk_bytes, False, True), ASKED))
     answers = asked.groupBy("part").applyInArrow(_answered, "chunk long, part int, data binary")
-    carried = docs.mapInArrow(_carried, "chunk long, rows binary")
+    carried = docs.mapInArrow(_carrying(chunk_bytes), "chunk long, rows binary")
 
     def score(rows: pa.Table, answer: pa.Table) -> pa.Table:
         if len(rows) != 1:

@@ -176,14 +176,14 @@ def test_texts_that_occur_twice_stand_apart(spark):
     assert min(twice) > max(mean[i] for i in range(20, 300))
 
 
-def test_chunks_do_not_change_the_scores(docs, network, monkeypatch):
-    def scores():
-        return {r.doc_id: r.log_likelihood for r in M.log_likelihoods(docs, network).collect()}
+def test_chunks_and_parts_do_not_change_the_scores(docs, network, monkeypatch):
+    def scores(**more):
+        found = M.log_likelihoods(docs, network, **more).collect()
+        return {r.doc_id: r.log_likelihood for r in found}
 
     whole = scores()
-    monkeypatch.setattr(word_counts, "CHUNK_BYTES", 5000)
     monkeypatch.setattr(word_counts, "PART_KEYS", 500)
-    cut = scores()
+    cut = scores(chunk_bytes=5000)
     assert whole.keys() == cut.keys()
     assert all(math.isclose(whole[i], cut[i], rel_tol=1e-6, abs_tol=1e-6) for i in whole)
 
