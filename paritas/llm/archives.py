@@ -9,8 +9,11 @@ more; all pages with the largest id stay responses.
 
 Reading: archives are parsed record by record from their declared lengths. Segments are
 grouped by origin, ordered by number, checked for gaps and against the total length, and
-joined; then the chunked framing is decoded and checked against the payload digest, and
-revisits take their payload's length from the record they refer to.
+joined; then the chunked framing is decoded and checked against the payload digest, in hex
+or base32 and by the algorithm it names, and revisits take their payload's length from the
+record they refer to. A damaged record, a missing segment or a wrong digest has an ``error``;
+reading pages fails on it, unless it is asked to keep such records with their error. Behind
+damage in an archive nothing more of that archive is read.
 
 Records are separated by an empty line pair, which is what the text sink writes between
 its rows, so Spark writes the archives itself, in parallel and committed like any table.
@@ -22,6 +25,7 @@ no record. Extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -40,6 +44,9 @@ SEGMENT = 16384
 #: are bounded, so is an archive, at 128 MiB.
 RECORDS = 2000
 
+#: Digest algorithms that are checked; a digest by another one is passed on.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+
 _END = "\r\n"
 _SCHEME = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -165,21 +172,32 @@ def _header(lines: bytes) -> dict[str, str]:
     return out
 
 
+def _decompressed(data: bytes) -> tuple[bytes, str | None]:
+    """What the members of an archive hold, one or many, and what ended it early."""
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error as error:
+            return b"".join(parts), f"the archive cannot be decompressed: {error}"
+        data = member.unused_data
+    return b"".join(parts), None if member.eof else "the archive is cut off"
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and block of every record of an archive, by the declared lengths."""
+    damage = None
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:  # one member or many
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
+        data, damage = _decompressed(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if not data.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no record at byte {at}")
         header = _header(data[at:end])
+        if "content-length" not in header:
+            raise ValueError(f"the record at byte {at} has no length")
         start, size = end + 4, int(header["content-length"])
         if len(data) < start + size:
             raise ValueError(f"the record at byte {at} is cut off")
@@ -187,6 +205,8 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size
         while data.startswith(b"\r\n", at):
             at += 2
+    if damage:
+        raise ValueError(damage)
 
 
 def unchunked(body: bytes) -> bytes:
@@ -216,7 +236,7 @@ def payload(block: bytes) -> bytes:
 
 _RECORD = (
     "record_id string, kind string, url string, digest string, refers string, "
-    "number int, origin string, total long, block binary"
+    "number int, origin string, total long, block binary, error string"
 )
 
 
@@ -224,28 +244,63 @@ def _bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
+def normalised(digest: str | None) -> str | None:
+    """A payload digest in lower-case hex, with the algorithm's name unless that is SHA-1."""
+    if not digest:
+        return None
+    label, _, value = digest.rpartition(":")
+    name = label.lower().replace("-", "") or "sha1"
+    if name not in ALGORITHMS:
+        return digest
+    size = hashlib.new(name).digest_size
+    if len(value) != 2 * size:
+        try:
+            value = base64.b32decode(value + "=" * (-len(value) % 8), casefold=True).hex()
+        except ValueError:
+            pass  # neither hex nor base32: equal to no payload's digest
+    return value.lower() if name == "sha1" else f"{name}:{value.lower()}"
+
+
+def _digest_fails(content: bytes, digest: str | None) -> bool:
+    if not digest:
+        return False
+    label, _, value = digest.rpartition(":")
+    name = label or "sha1"
+    return name in ALGORITHMS and hashlib.new(name, content).hexdigest() != value
+
+
+def _row(header: dict[str, str], block: bytes) -> tuple:
+    number, total = (header.get(f"warc-segment-{name}") for name in ("number", "total-length"))
+    return (
+        _bare(header.get("warc-record-id")),
+        header.get("warc-type"),
+        header.get("warc-target-uri"),
+        normalised(header.get("warc-payload-digest")),
+        _bare(header.get("warc-refers-to")),
+        int(number) if number else None,
+        _bare(header.get("warc-segment-origin-id")),
+        int(total) if total else None,
+        block,
+        None if header.get("warc-type") else "a record has no type",
+    )
+
+
+def _rows(data: bytes) -> Iterator[tuple]:
+    """The records of an archive; damage is a last row with nothing but its error."""
+    try:
+        for header, block in parsed(data):
+            yield _row(header, block)
+    except ValueError as error:
+        yield (*[None] * 9, str(error))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch["content"]:
             rows, held = [], 0
-            for header, block in parsed(content.as_py()):
-                number, total = (
-                    header.get(f"warc-segment-{name}") for name in ("number", "total-length")
-                )
-                rows.append(
-                    (
-                        _bare(header["warc-record-id"]),
-                        header["warc-type"],
-                        header.get("warc-target-uri"),
-                        header.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                        _bare(header.get("warc-refers-to")),
-                        int(number) if number else None,
-                        _bare(header.get("warc-segment-origin-id")),
-                        int(total) if total else None,
-                        block,
-                    )
-                )
-                held += len(block)
+            for row in _rows(content.as_py()):
+                rows.append(row)
+                held += len(row[8] or b"")
                 if held > 1 << 22:
                     yield _batch(rows)
                     rows, held = [], 0
@@ -259,6 +314,7 @@ _TYPES = [
     pa.string(),
     pa.int64(),
     pa.binary(),
+    pa.string(),
 ]
 
 
@@ -275,10 +331,10 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassembled(found: DataFrame) -> DataFrame:
-    """(record_id, kind, url, digest, refers, block) of whole records: segments are grouped
-    by origin, ordered, checked and joined. Only segments are shuffled."""
+    """(record_id, kind, url, digest, refers, block, error) of whole records: segments are
+    grouped by origin, ordered, checked and joined. Only segments are shuffled."""
     columns = ["record_id", "kind", "url", "digest", "refers"]
-    whole = found.where("number is null").select(*columns, "block")
+    whole = found.where("number is null").select(*columns, "block", "error")
     segments = found.where("number is not null").withColumn(
         "origin", F.coalesce("origin", "record_id")
     )
@@ -288,70 +344,95 @@ def reassembled(found: DataFrame) -> DataFrame:
         *(F.max(F.when(first, F.col(c))).alias(c) for c in columns[1:]),
         F.collect_list(part).alias("parts"),
     )
-    block = F.arrow_udf(_joined, "binary")("record_id", "parts")
-    return whole.union(grouped.select(*columns, block.alias("block")))
+    joined = F.arrow_udf(_joined, "block binary, error string")("record_id", "parts")
+    return whole.union(grouped.select(*columns, joined.alias("j")).select(*columns, "j.*"))
 
 
 def _joined(names: pa.Array, parts: pa.Array) -> pa.Array:
-    out = []
+    blocks, errors = [], []
     for name, segments in zip(names.to_pylist(), parts.to_pylist(), strict=True):
         segments.sort(key=lambda p: p["number"])
-        block = b"".join(p["block"] for p in segments)
+        block, error = b"".join(p["block"] for p in segments), None
         if [p["number"] for p in segments] != list(range(1, len(segments) + 1)):
-            raise ValueError(f"{name} lacks a segment or has one twice")
-        if {p["total"] for p in segments if p["total"] is not None} != {len(block)}:
-            raise ValueError(f"{name} is not as long as it says")
-        out.append(block)
-    return pa.array(out, pa.binary())
+            error = f"{name} lacks a segment or has one twice"
+        elif {p["total"] for p in segments if p["total"] is not None} != {len(block)}:
+            error = f"{name} is not as long as it says"
+        blocks.append(None if error else block)
+        errors.append(error)
+    return _both("block", blocks, errors)
+
+
+def _both(name: str, values: list, errors: list) -> pa.Array:
+    arrays = [pa.array(values, pa.binary()), pa.array(errors, pa.string())]
+    return pa.StructArray.from_arrays(arrays, [name, "error"])
+
+
+def _decoded(kinds: pa.Array, digests: pa.Array, blocks: pa.Array, known: pa.Array) -> pa.Array:
+    out, errors = [], []
+    for kind, digest, block, error in zip(
+        kinds.to_pylist(), digests.to_pylist(), blocks, known.to_pylist(), strict=True
+    ):
+        content = None
+        if kind == "response" and error is None:
+            try:
+                content = payload(block.as_py())
+                if _digest_fails(content, digest):
+                    raise ValueError(f"a payload does not have the digest {digest}")
+            except ValueError as found:
+                content, error = None, str(found)
+        out.append(content)
+        errors.append(error)
+    return _both("payload", out, errors)
 
 
 def with_payloads(whole: DataFrame) -> DataFrame:
-    """The records with ``payload``, the decoded one of a response, null for a revisit; a
-    payload that does not have its declared digest is an error."""
-
-    def decoded(kinds: pa.Array, digests: pa.Array, blocks: pa.Array) -> pa.Array:
-        out = []
-        for kind, digest, block in zip(kinds, digests, blocks, strict=True):
-            content = payload(block.as_py()) if kind.as_py() == "response" else None
-            expected = digest.as_py()
-            if content is not None and expected and hashlib.sha1(content).hexdigest() != expected:
-                raise ValueError(f"a payload does not have the digest {expected}")
-            out.append(content)
-        return pa.array(out, pa.binary())
-
-    column = F.arrow_udf(decoded, "binary")("kind", "digest", "block")
-    return whole.select("record_id", "kind", "url", "digest", "refers", column.alias("payload"))
+    """The records with ``payload``, the decoded one of a response, null for a revisit, and
+    ``error``: what is wrong with the record, if anything is."""
+    column = F.arrow_udf(_decoded, "payload binary, error string")(
+        "kind", "digest", "block", "error"
+    )
+    columns = ["record_id", "kind", "url", "digest", "refers"]
+    return whole.select(*columns, column.alias("d")).select(*columns, "d.*")
 
 
 def _page(identifier: Column) -> Column:
     return F.get(F.split(identifier, ":"), 2).try_cast("long")
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
+def page_records(spark: SparkSession, path: str, keep_damaged: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page of
-    the archives below ``path``; a revisit has the bytes of the payload it refers to."""
+    the archives below ``path``; a revisit has the bytes of the payload it refers to.
+
+    A damaged record fails the job. With ``keep_damaged`` it is a row without bytes, and a
+    further column ``error`` says what is wrong with it; other rows have none."""
     rows = with_payloads(reassembled(archive_records(spark, path)))
+    size = F.octet_length("payload").cast("long")
+    if not keep_damaged:
+        size = F.when(F.col("error").isNull(), size).otherwise(F.raise_error(F.col("error")))
     read = written(
         rows.select(
             _page(F.col("record_id")).alias("page_id"),
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            size.cast("long").alias("payload_bytes"),
             F.col("digest").alias("payload_digest"),
             F.col("kind").alias("record_type"),
             _page(F.col("refers")).alias("refers_to"),
+            "error",
         ),
         "page-records",
     )
-    named = read.where("record_type = 'response'").groupBy(
+    sound = read.where("error is null")
+    named = sound.where("record_type = 'response'").groupBy(
         F.col("page_id").alias("refers_to"), "payload_digest"
     )
     sizes = named.agg(F.max("payload_bytes").alias("full"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    revisits = read.where("record_type = 'revisit'").drop("payload_bytes")
+    columns += ["error"] if keep_damaged else []
+    revisits = sound.where("record_type = 'revisit'").drop("payload_bytes")
     revisits = revisits.join(sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed(
         "full", "payload_bytes"
     )
-    responses = read.where("record_type = 'response'")
-    return responses.select(*columns).union(revisits.select(*columns))
+    others = read.where("record_type = 'response' and error is null or error is not null")
+    return others.select(*columns).union(revisits.select(*columns))
 
 
 def archived(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Archives: round trip of pages, reassembly, framing, and what is refused."""
 
+import base64
 import glob
 import gzip
 import hashlib
@@ -105,6 +106,53 @@ def test_segments_from_several_archives(spark, tmp_path):
             A.page_records(spark, str(broken)).collect()
 
 
+def foreign(name, content, *lines):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + content
+    head = ["WARC-Type: response", f"WARC-Record-ID: <urn:x-page:{name}:0>", *lines]
+    head.append(f"Content-Length: {len(block)}")
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_digests_of_other_writers(spark, tmp_path):
+    b32 = base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    long = hashlib.sha256(b"three").hexdigest()
+    data = [
+        foreign(1, b"one", f"WARC-Payload-Digest: sha1:{b32}"),
+        foreign(2, b"two", f"WARC-Payload-Digest: SHA-1:{hashlib.sha1(b'two').hexdigest().upper()}"),
+        foreign(3, b"three", f"WARC-Payload-Digest: sha256:{long}"),
+        foreign(4, b"four", "WARC-Payload-Digest: blake9:xyz"),
+        foreign(5, b"five"),
+    ]
+    (tmp_path / "all.warc").write_bytes(b"".join(data))
+    found = {r.page_id: r for r in A.page_records(spark, str(tmp_path)).collect()}
+    assert {p: r.payload_bytes for p, r in found.items()} == {1: 3, 2: 3, 3: 5, 4: 4, 5: 4}
+    assert found[1].payload_digest == hashlib.sha1(b"one").hexdigest()
+    assert found[2].payload_digest == hashlib.sha1(b"two").hexdigest()
+    assert found[3].payload_digest == f"sha256:{long}" and found[5].payload_digest is None
+
+
+def test_damaged_records_have_an_error(spark, tmp_path):
+    good, wrong = foreign(1, b"one"), foreign(2, b"two", "WARC-Payload-Digest: sha1:ABC")
+    chunked = foreign(3, b"").replace(b"OK\r\n", b"OK\r\nTransfer-Encoding: chunked\r\n")
+    chunked = chunked.replace(b"Content-Length: 19", b"Content-Length: 47")
+    part = foreign(4, b"x" * 40, "WARC-Segment-Number: 1")
+    files = {
+        "a.warc": good + wrong + chunked + part,
+        "b.warc": foreign(5, b"five") + foreign(6, b"x" * 90)[:-50],
+        "c.warc.gz": gzip.compress(foreign(7, b"seven")) + gzip.compress(foreign(8, b"8"))[:-30],
+        "d.warc": b"no archive",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = A.page_records(spark, str(tmp_path), keep_damaged=True).collect()
+    assert {r.page_id for r in rows if r.error is None} == {1, 5, 7}
+    bad = [r for r in rows if r.error]
+    assert {r.page_id for r in bad if r.page_id} == {2, 3, 4}
+    assert len(bad) == 6 and all(r.payload_bytes is None for r in bad)
+    with pytest.raises(Exception, match="digest|chunk|segment|long as|cut off|record"):
+        A.page_records(spark, str(tmp_path)).collect()
+
+
 def test_framing_is_checked():
     assert A.unchunked(b"0\r\n\r\n") == b""
     for broken in (b"3\r\nab", b"3\r\nabcd\r\n0\r\n\r\n", b"zz"):
