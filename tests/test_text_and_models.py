@@ -2,6 +2,11 @@ import math
 import re
 
 import pytest
+from pyspark.resource import (
+    ExecutorResourceRequests,
+    ResourceProfileBuilder,
+    TaskResourceRequests,
+)
 from pyspark.sql import functions as F
 
 from paritas.checks.stubs import length_model, yes_no_model
@@ -12,7 +17,7 @@ from paritas.functions.text import (
     tokens_sql,
     without_stop_words,
 )
-from paritas.operators import classifier, terms
+from paritas.operators import classifier, scoring, terms
 from paritas.operators.scoring import by_length, padding, score_texts, score_zero_shot
 from paritas.plans.candidates import run_candidates
 from paritas.sources.models import load_pipeline, model_paths, save_pipeline
@@ -243,3 +248,22 @@ def test_batches_by_length_pad_less(spark):
     scored = score_texts(df, length_model())
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
     assert scored.columns == [*df.columns, "score"]
+
+
+def test_the_scoring_stage_carries_its_resources(spark):
+    rows = [(1, "short"), (2, "a longer text"), (3, None)]
+    df = spark.createDataFrame(rows, "id bigint, comment_text string")
+    needs = TaskResourceRequests().cpus(1).resource("gpu", 1)
+    has = ExecutorResourceRequests().resource("gpu", 1)
+    profile = ResourceProfileBuilder().require(needs).require(has).build
+    plain = score_texts(df, length_model())
+    assert score_texts(df, length_model(), profile=profile).schema == plain.schema
+    assert plain.count() == 3
+    for scored in (score_texts, score_zero_shot):  # a local master has no such resources
+        with pytest.raises(Exception, match="ResourceProfile"):
+            scored(df, yes_no_model(), profile=profile).collect()
+
+
+def test_a_stage_of_resources_keeps_its_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id bigint, comment_text string")
+    assert sorted(df.mapInArrow(scoring._same, df.schema).collect()) == sorted(df.collect())
