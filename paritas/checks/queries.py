@@ -646,17 +646,42 @@ def _coefficients(spark, model):
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
-def _largest_gradient(train, model, counts):
-    """The largest entry of the gradient of the weighted loss and its penalty, summed up
-    from the vectors of all training rows."""
+def _residuals(train, model, counts):
+    """Training rows with the weighted ``residual`` of their score."""
     weight = F.when(
         F.col("is_toxic") == 1, F.lit(counts.total / (2.0 * counts.positive))
     ).otherwise(F.lit(counts.total / (2.0 * counts.negative)))
-    residuals = classifier.score_baseline(model, train).select(
-        "id", (weight * (F.col("score") - F.col("is_toxic"))).alias("residual")
+    return classifier.score_baseline(model, train).withColumn(
+        "residual", weight * (F.col("score") - F.col("is_toxic"))
+    )
+
+
+def _gradient_entries(train, model, counts, sums):
+    """(id, residual, term, weight) of all training rows with an id. Rows that share an id
+    have the sum of their residuals.
+
+    A row's own residual goes with its entries, so they are not joined by id. Only ids that
+    repeat are looked up, in a table of their own, whose size lets Spark choose the join.
+    """
+    repeated = written(
+        sums.where((F.col("n") > 1) & F.col("id").isNotNull()).select("id", "total"),
+        "repeated-ids",
+    )
+    rows = _residuals(train.where(F.col("id").isNotNull()), model, counts).drop("score")
+    rows = rows.join(repeated, "id", "left").withColumn(
+        "residual", F.coalesce("total", "residual")
+    )
+    return classifier.tfidf_weights(rows, model.stages[:-1], carried=["residual"])
+
+
+def _largest_gradient(train, model, counts):
+    """The largest entry of the gradient of the weighted loss and its penalty, summed up
+    from the vectors of all training rows."""
+    by_id = _residuals(train, model, counts).groupBy("id")
+    sums = written(
+        by_id.agg(F.sum("residual").alias("total"), F.count(F.lit(1)).alias("n")), "residuals"
     )
-    entries = classifier.tfidf_weights(train, model.stages[:-1]).join(residuals, "id")
-    by_term = entries.groupBy("term").agg(
+    by_term = _gradient_entries(train, model, counts, sums).groupBy("term").agg(
         F.sum(F.col("weight") * F.col("residual")).alias("loss")
     )
     coefficients = _coefficients(train.sparkSession, model)
@@ -664,7 +689,7 @@ def _largest_gradient(train, model, counts):
         F.abs(F.coalesce("loss", F.lit(0.0)) + F.col("coefficient")).alias("entry")
     )
     return gradient.unionByName(
-        residuals.agg(F.abs(F.sum("residual")).alias("entry"))
+        sums.agg(F.abs(F.sum("total")).alias("entry"))
     ).agg(F.max("entry").alias("largest"))
 
 

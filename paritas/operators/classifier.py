@@ -121,30 +121,50 @@ def text_column(stages: Sequence) -> str:
     return stages[0].getStatement().split("`")[1]
 
 
-def tfidf_weights(df: DataFrame, stages: list, id_col: str = "id") -> DataFrame:
-    """(id, term, weight) from fitted TF-IDF stages, read off the sparse vectors."""
+def tfidf_weights(
+    df: DataFrame, stages: list, id_col: str = "id", carried: Sequence[str] = ()
+) -> DataFrame:
+    """(id, term, weight) from fitted TF-IDF stages, read off the sparse vectors. Columns
+    ``carried`` along stand after the id, so that they need no join with the entries."""
+    kept = [id_col, *carried]
     vectors = PipelineModel(stages).transform(df)
     sparse = F.unwrap_udt(F.col("features"))
-    entries = vectors.select(id_col, sparse.alias("v")).select(
-        id_col, F.inline(F.arrays_zip(F.col("v.indices"), F.col("v.values")))
+    entries = vectors.select(*kept, sparse.alias("v")).select(
+        *kept, F.inline(F.arrays_zip(F.col("v.indices"), F.col("v.values")))
     )
     # The vocabulary as one constant array; a blank is never part of a term.
     terms = F.split(F.lit(" ".join(model_vocabulary(stages))), " ")
     return entries.select(
-        id_col, F.get(terms, F.col("indices")).alias("term"), F.col("values").alias("weight")
+        *kept, F.get(terms, F.col("indices")).alias("term"), F.col("values").alias("weight")
     )
 
 
+def _vector_bytes(rows: int, entries: int) -> int:
+    return rows * ROW_BYTES + entries * ENTRY_BYTES
+
+
 def vector_partitions(spark: SparkSession, rows: int, entries: int) -> int:
     """How many partitions to cache vectors in, by their bytes. A block of the cache has a
     limit, so there are enough. Every pass is a job that visits all of them, so there are
     no more than the session shuffles into unless the limit asks for it, and few vectors
     are in few partitions, as a task would cost more than its share of the pass."""
-    size = rows * ROW_BYTES + entries * ENTRY_BYTES
+    size = _vector_bytes(rows, entries)
     spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     return max(1, spread, -(-size // PARTITION_BYTES))
 
 
+def pass_partitions(spark: SparkSession, rows: int, entries: int) -> int:
+    """How many partitions to cache vectors in whose sums are gathered again and again.
+
+    Each partition shuffles a gradient, a number per term, in every one of up to a thousand
+    passes. More partitions than the session has cores save no time, so there is one per
+    core, or as many more for each as the limit of :func:`vector_partitions` asks for.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    waves = max(1, -(-_vector_bytes(rows, entries) // (PARTITION_BYTES * cores)))
+    return min(vector_partitions(spark, rows, entries), waves * cores)
+
+
 def weighted_features(
     df: DataFrame, tfidf: Tfidf, counts: ClassCounts, label: str = "is_toxic"
 ) -> DataFrame:
@@ -157,7 +177,7 @@ def weighted_features(
         .transform(df)
         .select("features", F.col(label).cast("double").alias("label"), weight.alias("weight"))
     )
-    parts = vector_partitions(df.sparkSession, counts.total, tfidf.entries)
+    parts = pass_partitions(df.sparkSession, counts.total, tfidf.entries)
     return vectors.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 

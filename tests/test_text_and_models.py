@@ -9,6 +9,7 @@ from pyspark.resource import (
 )
 from pyspark.sql import functions as F
 
+from paritas.checks.queries import _largest_gradient
 from paritas.checks.stubs import length_model, yes_no_model
 from paritas.functions.scores import logits_to_score, zero_shot_score
 from paritas.functions.text import (
@@ -114,6 +115,31 @@ def test_baseline_solution_is_a_minimum_of_the_summed_loss(spark):
     assert max(abs(gradient)) < 1e-2
 
 
+def test_gradient_shuffles_sums_of_terms(spark):
+    """Entries meet the residual in their own row, so none of them is shuffled by its id.
+    Of rows that share an id, each has the sum of the residuals; those without one have none."""
+    unique = comments(spark)
+    model = classifier.train_baseline(unique)
+    counts = classifier.class_counts(unique)
+    shared = unique.withColumn("id", F.expr("IF(id < 6, NULL, IF(id < 20, id % 7, id))"))
+    for df in (unique, shared):
+        rows = model.transform(df).select("id", "features", "is_toxic", "probability").collect()
+        gradient, intercept = model.stages[-1].coefficients.toArray().copy(), 0.0
+        for r in rows:
+            same = [o for o in rows if r["id"] is not None and o["id"] == r["id"]]
+            for o in same:
+                residual = 80 / (2 * (20 if o["is_toxic"] else 60))
+                residual *= o["probability"][1] - o["is_toxic"]
+                gradient += residual * r["features"].toArray()
+            residual = 80 / (2 * (20 if r["is_toxic"] else 60))
+            intercept += residual * (r["probability"][1] - r["is_toxic"])
+        largest = _largest_gradient(df, model, counts)
+        expected = max(*abs(gradient), abs(intercept))
+        assert largest.first()["largest"] == pytest.approx(expected, abs=1e-9)
+        plan = largest._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"term"}
+
+
 def test_training_needs_both_classes(spark):
     with pytest.raises(ValueError, match="both classes"):
         classifier.train_baseline(comments(spark).where("is_toxic = 0"))
@@ -234,6 +260,30 @@ def test_vectors_are_cached_by_their_bytes(spark):
     assert 10**9 * 100 + 10**11 * 12 <= parts * classifier.PARTITION_BYTES
 
 
+def test_vectors_of_many_passes_are_cached_by_cores(spark):
+    """As every partition shuffles a gradient in each pass, shuffle partitions, which grow
+    with the table, do not make more of them than cores."""
+    cores = spark.sparkContext.defaultParallelism
+    df = comments(spark)
+    stages = classifier.tfidf_stages(df)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(100 * cores))
+        for waves in (1, 3):
+            size = waves * cores * classifier.PARTITION_BYTES
+            tfidf = classifier.Tfidf(stages, size // classifier.ENTRY_BYTES - 80_000)
+            counts = classifier.class_counts(df)
+            features = classifier.weighted_features(df, tfidf, counts)
+            assert features.rdd.getNumPartitions() == waves * cores
+            assert features.count() == 80
+            features.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert classifier.pass_partitions(spark, 1_000, 10_000) == 1
+    parts = classifier.pass_partitions(spark, 10**9, 10**11)
+    assert 10**9 * 100 + 10**11 * 12 <= parts * classifier.PARTITION_BYTES
+
+
 def test_batches_by_length_pad_less(spark):
     """The same rows and scores, no shuffle, and next to no padding."""
     df = spark.range(2_000, numPartitions=4).selectExpr(
